@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .mixing import op1_mix_sources
+from .quality import op3_quality
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_quality": op3_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
