@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .fingerprints import op10_fingerprints
+from .licenses import op4_license_scan
 from .mixing import op1_mix_sources
+from .neighbours import op8_neighbours
 from .quality import op3_quality
+from .toolcalls import OP9_SQL, op9_link_tool_calls
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_quality": op3_quality,
+    "op4_license_scan": op4_license_scan,
+    "op8_neighbours": op8_neighbours,
+    "op9_link_tool_calls": op9_link_tool_calls,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_link_tool_calls": OP9_SQL,
+}
