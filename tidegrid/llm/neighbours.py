@@ -21,9 +21,9 @@ class Hashing:
     buckets of each table.  ``block``: vectors that meet in one task as a matrix."""
 
     tables: int = 6
-    hashes: int = 3
+    hashes: int = 2
     width: float = 1.0
-    probes: int = 14
+    probes: int = 6
     seed: int = 5
     block: int = 4096
 

@@ -6,13 +6,17 @@ from .fingerprints import op10_fingerprints
 from .licenses import op4_license_scan
 from .mixing import op1_mix_sources
 from .neighbours import op8_neighbours
+from .packing import op5_pack
 from .quality import op3_quality
+from .store import op2_token_store
 from .toolcalls import OP9_SQL, op9_link_tool_calls
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_token_store": op2_token_store,
     "op3_quality": op3_quality,
     "op4_license_scan": op4_license_scan,
+    "op5_pack": op5_pack,
     "op8_neighbours": op8_neighbours,
     "op9_link_tool_calls": op9_link_tool_calls,
     "op10_fingerprints": op10_fingerprints,
