@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op10_fingerprints
+from .jaccard import op6_jaccard_join
 from .licenses import op4_license_scan
 from .mixing import op1_mix_sources
 from .neighbours import op8_neighbours
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_license_scan": op4_license_scan,
     "op5_pack": op5_pack,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_neighbours": op8_neighbours,
     "op9_link_tool_calls": op9_link_tool_calls,
     "op10_fingerprints": op10_fingerprints,
