@@ -9,6 +9,7 @@ from .mixing import op1_mix_sources
 from .neighbours import op8_neighbours
 from .packing import op5_pack
 from .quality import op3_quality
+from .scoring import op7_lm_score
 from .store import op2_token_store
 from .toolcalls import OP9_SQL, op9_link_tool_calls
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_pack": op5_pack,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_lm_score": op7_lm_score,
     "op8_neighbours": op8_neighbours,
     "op9_link_tool_calls": op9_link_tool_calls,
     "op10_fingerprints": op10_fingerprints,
