@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from .common import materialise, shuffle_partitions, small_batches, table, written
@@ -63,17 +64,17 @@ def prefix_size(n: int) -> int:
 
 
 def _binary(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("t"))
+    return docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("h"))
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    """(id, n, cls, parts) of each document, and rows of counts of shingles (slice, counts), from one pass."""
+    """(id, h, n, cls, parts) of each document, and rows of counts of shingles (slice, counts), from one pass."""
     kind = docs.schema["id"].dataType.simpleString()
     slices, width = 16, COUNTERS // 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, idtype = np.zeros(COUNTERS, dtype=np.int32), set(), None
-        names = ["id", "n", "cls", "parts", "slice", "counts"]
+        names = ["id", "h", "n", "cls", "parts", "slice", "counts"]
         for batch in batches:
             idtype = batch.schema.field("id").type
             ns, classes, parts = [], [], []
@@ -88,12 +89,12 @@ def _members(docs: DataFrame) -> DataFrame:
                     if len(found) <= 20_000:
                         np.add.at(counts, (found >> np.uint64(44)).astype(np.int64), 1)
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if seen:
             packs = [zstandard.compress(counts[k * width : (k + 1) * width].tobytes(), 1) for k in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(slices, idtype), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(packs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(slices, idtype), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(packs, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"id {kind}, n long, cls long, parts binary, slice int, counts binary")
+    return docs.mapInArrow(run, f"id {kind}, h long, n long, cls long, parts binary, slice int, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -339,7 +340,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def join(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id, n_shingles, component_id, n_links``.
+    """One row per row of ``docs``: ``id, n_shingles, component_id, n_links``, and ``__text``, the text's hash.
 
     Documents link when their sets of shingles of five words (ASCII letters in lower case) have a Jaccard similarity of
     0.75 or more; ``component_id`` is the smallest id that links reach.  Equal sets are one class, which is all that
@@ -359,7 +360,7 @@ def join(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
     small_batches(spark)
     own = _binary(docs, id, text)
     first = written(_members(own), "members")
-    members = first.where("slice IS NULL").select("id", "n", "cls", "parts")
+    members = first.where("slice IS NULL").select("id", "h", "n", "cls", "parts")
     classes = materialise(members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")))
     postings = written(_postings(own, _sketch(first.where("slice IS NOT NULL"))), "postings")
 
@@ -392,8 +393,41 @@ def _result(members: DataFrame, classes: DataFrame, links: DataFrame, comps: Dat
     named = classes.join(comps, classes["cls"] == comps["node"], "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     placed = materialise(named.join(lowest, "comp").join(ends, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return members.join(placed, "cls", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(placed, "cls", "left").select(F.col("id").alias(id), F.col("h").alias("__text"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their groups: of each component the row with the
+    smallest id (then the smallest hash of its text, nulls last), of rows that repeat it one.
+
+    Most texts aren't moved for this: a filter of fixed size tells which rows may have to go, and only those are joined
+    with the list of rows.
+    """
+    found = join(docs, id=id, text=text).select(F.col(id).alias("id"), "__text", F.col("component_id").alias("comp"))
+    keys = found.groupBy("id", "__text", "comp").agg(F.count("*").alias("times"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "__text")
+    best = keys.groupBy(F.col("comp").alias("comp2")).agg(F.min(order).alias("best"))
+    ruled = keys.join(best, F.col("comp").eqNullSafe(F.col("comp2")))
+    keep = F.col("id").eqNullSafe(F.col("best.id")) & F.col("__text").eqNullSafe(F.col("best.__text"))
+    # A null component is that of null ids without words: each such text stands for itself.
+    rules = materialise(ruled.select(F.xxhash64("id", "__text").alias("__key"), (keep | F.col("comp").isNull()).alias("__keep"), F.col("times").alias("__times")).where("NOT __keep OR __times > 1"))
+    shared = docs.sparkSession.sparkContext.broadcast(_needed(rules.select("__key")))
+    keyed = docs.withColumn("__key", F.xxhash64(id, F.xxhash64(text)))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            on = np.ones(batch.num_rows, dtype=bool)
+            for h in _spots(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)):
+                on &= (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(on)], names=[*batch.schema.names, "__maybe"])
+
+    all_rows = keyed.mapInArrow(marked, T.StructType([*keyed.schema.fields, T.StructField("__maybe", T.BooleanType())]))
+    clear = all_rows.where("NOT __maybe").select(*docs.columns)
+    rest = all_rows.where("__maybe").join(rules, "__key", "left").where("coalesce(__keep, true)")
+    once = rest.where("__times > 1").dropDuplicates(["__key"]).select(*docs.columns)
+    return clear.unionByName(rest.where("coalesce(__times, 1) = 1").select(*docs.columns)).unionByName(once)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("__text")

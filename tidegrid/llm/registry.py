@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .fingerprints import op10_fingerprints
 from .jaccard import op6_jaccard_join
 from .licenses import op4_license_scan
@@ -14,6 +16,7 @@ from .store import op2_token_store
 from .toolcalls import OP9_SQL, op9_link_tool_calls
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_mix_sources": op1_mix_sources,
     "op2_token_store": op2_token_store,
     "op3_quality": op3_quality,
