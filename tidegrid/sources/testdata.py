@@ -40,7 +40,7 @@ def events_buckets(spark: SparkSession, path: str) -> Source:
     rows = spark.read.parquet(f"{path}/events.parquet").select("event_type", "ts", "event_id", "value")
     order = Window.partitionBy("event_type").orderBy("ts", "event_id")
     counts = F.array(*[F.struct(F.lit(b).alias("le"), F.sum(F.when(F.lit(True) if b == "+Inf" else F.col("value") <= float(b), 1).otherwise(0)).over(order).alias("n")) for b in BOUNDS])
-    flat = rows.withColumn("b", F.explode(counts)).select("event_type", "ts", "b.le", "b.n")
+    flat = rows.withColumn("counts", counts).withColumn("b", F.explode("counts")).select("event_type", "ts", "b.le", "b.n")
     return _of(flat, "events_value_bucket", ["event_type", "le"], millis(F.col("ts")), F.col("n"))
 
 
