@@ -54,7 +54,7 @@ def fingerprint(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> D
     Null text: as empty; empty texts share one fingerprint.  Rows that repeat an id with another text each have their
     own row; fully repeated rows one between them.  Null ids are kept.  Empty table: no rows.
     """
-    own = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    own = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")).dropDuplicates(["id", "h"])
     words = own.select("id", "h", F.explode_outer(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("w"))
     counted = words.groupBy("id", "h", F.xxhash64("w").alias("term"), F.col("w").isNull().alias("none")).count()
     weight = F.when(F.col("none"), F.lit(0.0)).otherwise(F.col("count").cast("double"))

@@ -340,7 +340,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def join(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id, n_shingles, component_id, n_links``, and ``__text``, the text's hash.
+    """One row per row of ``docs``: ``id, n_shingles, component_id, n_links``, and ``__text``, the text's hash, and ``__comp``,
+    which tells components apart where rows share an id (null without shingles).
 
     Documents link when their sets of shingles of five words (ASCII letters in lower case) have a Jaccard similarity of
     0.75 or more; ``component_id`` is the smallest id that links reach.  Equal sets are one class, which is all that
@@ -392,8 +393,8 @@ def _result(members: DataFrame, classes: DataFrame, links: DataFrame, comps: Dat
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = classes.join(comps, classes["cls"] == comps["node"], "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    placed = materialise(named.join(lowest, "comp").join(ends, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return members.join(placed, "cls", "left").select(F.col("id").alias(id), F.col("h").alias("__text"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = materialise(named.join(lowest, "comp").join(ends, "cls", "left").select("cls", "comp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return members.join(placed, "cls", "left").select(F.col("id").alias(id), F.col("h").alias("__text"), F.col("comp").alias("__comp"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -403,14 +404,13 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Data
     Most texts aren't moved for this: a filter of fixed size tells which rows may have to go, and only those are joined
     with the list of rows.
     """
-    found = join(docs, id=id, text=text).select(F.col(id).alias("id"), "__text", F.col("component_id").alias("comp"))
+    found = join(docs, id=id, text=text).select(F.col(id).alias("id"), "__text", F.coalesce("__comp", F.xxhash64(id, "__text")).alias("comp"))
     keys = found.groupBy("id", "__text", "comp").agg(F.count("*").alias("times"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "__text")
     best = keys.groupBy(F.col("comp").alias("comp2")).agg(F.min(order).alias("best"))
-    ruled = keys.join(best, F.col("comp").eqNullSafe(F.col("comp2")))
+    ruled = keys.join(best, F.col("comp") == F.col("comp2"))
     keep = F.col("id").eqNullSafe(F.col("best.id")) & F.col("__text").eqNullSafe(F.col("best.__text"))
-    # A null component is that of null ids without words: each such text stands for itself.
-    rules = materialise(ruled.select(F.xxhash64("id", "__text").alias("__key"), (keep | F.col("comp").isNull()).alias("__keep"), F.col("times").alias("__times")).where("NOT __keep OR __times > 1"))
+    rules = materialise(ruled.select(F.xxhash64("id", "__text").alias("__key"), keep.alias("__keep"), F.col("times").alias("__times")).where("NOT __keep OR __times > 1"))
     shared = docs.sparkSession.sparkContext.broadcast(_needed(rules.select("__key")))
     keyed = docs.withColumn("__key", F.xxhash64(id, F.xxhash64(text)))
 
@@ -430,4 +430,4 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Data
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("__text")
+    return join(table(spark, sf_dir, "documents")).drop("__text", "__comp")

@@ -150,7 +150,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id: str = "vec_
     # Of a query class: itself counts through its copies only, so one more than k is enough for any of its members.
     ids = classes.select(F.col("cls").alias("c"), "ids", F.size("ids").alias("n"))
     have = found.join(ids, "c").groupBy("q").agg(F.sum("n").alias("have"))
-    short = materialise(wide.where("asked").join(have, wide["cls"] == have["q"], "left").where(F.coalesce("have", F.lit(0)) < k + 1).select("cls", "vector"))
+    short = materialise(wide.where("asked").join(have, wide["cls"] == have["q"], "left").where(F.coalesce("have", F.lit(0)) < k + 1).select("cls", "vector")).toDF("cls", "vector")
     if not short.isEmpty():
         everywhere = [F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "cls", "vector"]
         whole = _best(_meet(wide.select(*everywhere), short.select(*everywhere), k + 1, how.block), k)

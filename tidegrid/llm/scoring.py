@@ -143,7 +143,7 @@ def _unpacked(data: bytes, common: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     known = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 2 * n, at).reshape(2, n).T).view("<u2").ravel()
     at += 2 * n
     wide = np.zeros((others, 8), dtype=np.uint8)
-    wide[:, : CONTEXT_BITS // 8] = np.frombuffer(raw, np.uint8, others * (CONTEXT_BITS // 8), at).reshape(others, -1)
+    wide[:, : CONTEXT_BITS // 8] = np.frombuffer(raw, np.uint8, others * (CONTEXT_BITS // 8), at).reshape(others, CONTEXT_BITS // 8)
     before = np.empty(n, dtype=np.uint64)
     is_other = known == 65_535
     before[is_other] = wide.view("<u8").ravel()
