@@ -77,10 +77,10 @@ def joined(a: DataFrame, b: DataFrame, op: str, m: Matching, as_bool: bool, stri
     return out
 
 
-def info(rows: DataFrame, found: DataFrame, wanted: tuple[str, ...], identifying: tuple[str, ...] = ("instance", "job")) -> DataFrame:
+def info(rows: DataFrame, found: DataFrame, wanted: tuple[str, ...], required: bool, identifying: tuple[str, ...] = ("instance", "job")) -> DataFrame:
     """Rows with the labels of the info series of the same instance and job, the newest if there are several.
 
-    A label of the row itself stays.  With labels asked for that an info series has to have, rows without one go.
+    A label of the row itself stays.  Where labels are required, rows without an info series go.
     """
     sig = L.keep(F.col("labels"), identifying)
     data = L.drop(F.col("labels"), (*identifying, L.NAME))
@@ -90,6 +90,6 @@ def info(rows: DataFrame, found: DataFrame, wanted: tuple[str, ...], identifying
     own = F.transform("labels", lambda x: x["key"])
     more = F.filter(F.coalesce("data", L.empty()), lambda x: ~F.array_contains(own, x["key"]))
     out = joined.withColumn("labels", F.array_sort(F.concat("labels", more)))
-    if wanted:
+    if required:
         out = out.where(F.col("data").isNotNull() & (F.size("data") > 0))
     return out.select("labels", "ts", "f", "gone")

@@ -10,48 +10,60 @@ from pyspark.sql import functions as F
 from ..functions import ieee
 from ..functions.ieee import lit
 
-f, t, pt, pf, inside = (F.col(x) for x in ("f", "t", "pt", "pf", "inside"))
+class _Columns:
+    """The columns of windows, named when they are used: importing needs no session."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+
+at = _Columns()
 
 
 def _count_pairs(differs: Column) -> Column:
-    return F.sum(F.when(inside & differs, 1).otherwise(0)).cast("double")
+    return F.sum(F.when(at.inside & differs, 1).otherwise(0)).cast("double")
+
+
+def _drop() -> Column:
+    return ieee.compare("<", at.f, at.pf)
 
 
-_drop = ieee.compare("<", f, pf)
-_change = ieee.compare("!=", f, pf) & ~(F.isnan(f) & F.isnan(pf))
+def _change() -> Column:
+    return ieee.compare("!=", at.f, at.pf) & ~(F.isnan(at.f) & F.isnan(at.pf))
 
 
 def _extremum(sign: int) -> Column:
     """The time of the largest or smallest value, the latest of equal ones; without numbers the latest sample's."""
-    value = f if sign > 0 else -f
-    return F.coalesce(F.max(F.when(~F.isnan(f), F.struct(value.alias("v"), t.alias("t"))))["t"], F.max(t)) / 1000.0
+    value = at.f if sign > 0 else -at.f
+    return F.coalesce(F.max(F.when(~F.isnan(at.f), F.struct(value.alias("v"), at.t.alias("t"))))["t"], F.max(at.t)) / 1000.0
 
 
-_values = F.transform(F.array_sort(F.collect_list(F.struct("t", "f"))), lambda x: x["f"])
+def _values() -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("t", "f"))), lambda x: x["f"])
 
 
 def _variance() -> Column:
-    return F.when(F.max(F.isnan(f) | (F.abs(f) == lit(ieee.INF))), lit(ieee.NAN)).otherwise(F.var_pop(F.when(~F.isnan(f), f)))
+    return F.when(F.max(F.isnan(at.f) | (F.abs(at.f) == lit(ieee.INF))), lit(ieee.NAN)).otherwise(F.var_pop(F.when(~F.isnan(at.f), at.f)))
 
 
 #: One value for each window; the name is kept where the second says so.
 SIMPLE: dict[str, Callable[[], Column]] = {
     "count_over_time": lambda: F.count("*").cast("double"),
     "present_over_time": lambda: F.max(lit(1.0)),
-    "sum_over_time": lambda: F.sum(f),
-    "avg_over_time": lambda: F.avg(f),
-    "min_over_time": lambda: ieee.least(f),
-    "max_over_time": lambda: ieee.largest(f),
+    "sum_over_time": lambda: F.sum(at.f),
+    "avg_over_time": lambda: F.avg(at.f),
+    "min_over_time": lambda: ieee.least(at.f),
+    "max_over_time": lambda: ieee.largest(at.f),
     "stddev_over_time": lambda: F.sqrt(_variance()),
     "stdvar_over_time": _variance,
-    "first_over_time": lambda: F.min_by(f, t),
-    "last_over_time": lambda: F.max_by(f, t),
-    "ts_of_first_over_time": lambda: F.min(t) / 1000.0,
-    "ts_of_last_over_time": lambda: F.max(t) / 1000.0,
+    "first_over_time": lambda: F.min_by(at.f, at.t),
+    "last_over_time": lambda: F.max_by(at.f, at.t),
+    "ts_of_first_over_time": lambda: F.min(at.t) / 1000.0,
+    "ts_of_last_over_time": lambda: F.max(at.t) / 1000.0,
     "ts_of_max_over_time": lambda: _extremum(1),
     "ts_of_min_over_time": lambda: _extremum(-1),
-    "changes": lambda: _count_pairs(_change),
-    "resets": lambda: _count_pairs(_drop),
+    "changes": lambda: _count_pairs(_change()),
+    "resets": lambda: _count_pairs(_drop()),
 }
 KEEP_NAME = ("first_over_time", "last_over_time")
 
@@ -75,7 +87,7 @@ def rate(rows: DataFrame, name: str, span: int, offset: int) -> DataFrame:
     """rate, increase and delta: the difference over the window, drops of counters added back, carried on to the
     window's edges as far as samples stand about that far apart."""
     counter, per_second = name != "delta", name == "rate"
-    lost = F.sum(F.when(inside & _drop, pf).otherwise(0.0)) if counter else F.max(lit(0.0))
+    lost = F.sum(F.when(at.inside & _drop(), at.pf).otherwise(0.0)) if counter else F.max(lit(0.0))
     g = rows.groupBy("key", "ts").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by("f", "t").alias("f0"), F.max_by("f", "t").alias("f1"), lost.alias("lost")).where("n >= 2")
     g = g.withColumn("result", F.col("f1") - F.col("f0") + F.col("lost")).withColumn("sampled", (F.col("t1") - F.col("t0")) / 1000.0)
     g = g.withColumn("mean", F.col("sampled") / (F.col("n") - 1))
@@ -96,9 +108,9 @@ def edge_rate(inner: DataFrame, left: DataFrame, name: str, span: int, right: Da
     ``inner``: the window's own samples (as ``windows``); ``left``: the value at its left edge; ``right``: at its right
     edge, where the window is smoothed.  Without a left edge the first sample stands there.
     """
-    pairs = {"changes": _change, "resets": _drop}.get(name)
+    pairs = {"changes": _change(), "resets": _drop()}.get(name)
     own = inner.groupBy("key", "ts").agg(
-        F.min_by("f", "t").alias("f0"), F.max_by("f", "t").alias("f1"), F.sum(F.when(inside & _drop, pf).otherwise(0.0)).alias("lost"), F.count("*").alias("n"),
+        F.min_by("f", "t").alias("f0"), F.max_by("f", "t").alias("f1"), F.sum(F.when(at.inside & _drop(), at.pf).otherwise(0.0)).alias("lost"), F.count("*").alias("n"),
         (_count_pairs(pairs) if pairs is not None else F.max(lit(0.0))).alias("pairs"),
     )
     g = own.join(left.select("key", "ts", F.col("f").alias("e0"), "real_f"), ["key", "ts"], "full" if right is not None else "left")
@@ -121,15 +133,15 @@ def instant(rows: DataFrame, name: str) -> DataFrame:
     """irate and idelta: of the window's last two samples."""
     last = F.max_by(F.struct("f", "pf", "t", "pt", "inside"), "t").alias("l")
     g = rows.groupBy("key", "ts").agg(last).where("l.inside").select("key", "ts", "l.*")
-    gone = f - pf if name == "idelta" else F.when(_drop, f).otherwise(f - pf)
-    return g.select("key", "ts", (gone if name == "idelta" else gone / ((t - pt) / 1000.0)).alias("f"))
+    gone = at.f - at.pf if name == "idelta" else F.when(_drop(), at.f).otherwise(at.f - at.pf)
+    return g.select("key", "ts", (gone if name == "idelta" else gone / ((at.t - at.pt) / 1000.0)).alias("f"))
 
 
 def line(rows: DataFrame, name: str, ahead: Column | None) -> DataFrame:
     """deriv and predict_linear: the slope of the least-squares line, or its value ``ahead`` seconds after the step."""
-    x = (t - F.col("ts")) / 1000.0
+    x = (at.t - F.col("ts")) / 1000.0
     g = rows.groupBy("key", "ts").agg(
-        F.count("*").alias("n"), F.covar_pop(x, f).alias("xy"), F.var_pop(x).alias("xx"), F.avg(x).alias("mx"), F.avg("f").alias("my"), F.min("f").alias("low"), F.max("f").alias("high")
+        F.count("*").alias("n"), F.covar_pop(x, at.f).alias("xy"), F.var_pop(x).alias("xx"), F.avg(x).alias("mx"), F.avg("f").alias("my"), F.min("f").alias("low"), F.max("f").alias("high")
     ).where("n >= 2")
     constant = F.col("low") == F.col("high")
     infinite = constant & (F.abs("low") == lit(ieee.INF))
@@ -138,12 +150,12 @@ def line(rows: DataFrame, name: str, ahead: Column | None) -> DataFrame:
         return g.select("key", "ts", slope.alias("f"))
     g = g.withColumn("slope", slope)
     base = F.when(infinite, lit(ieee.NAN)).when(constant, F.col("low")).otherwise(F.col("my") - F.col("slope") * F.col("mx"))
-    return g.select("key", "ts", (F.col("slope") * ahead + base).alias("f"))
+    return g.select("key", "ts", (F.col("slope") * ahead + base).alias("f"), "slope")
 
 
 def smoothing(rows: DataFrame, level: float, trend: float) -> DataFrame:
     """Holt's linear smoothing over the window's samples in order."""
-    g = rows.groupBy("key", "ts").agg(_values.alias("v")).where(F.size("v") >= 2)
+    g = rows.groupBy("key", "ts").agg(_values().alias("v")).where(F.size("v") >= 2)
     begin = F.struct(F.element_at("v", 1).alias("s"), (F.element_at("v", 2) - F.element_at("v", 1)).alias("b"))
 
     def step(a: Column, x: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import buckets, elementwise, ieee, labels as L
 from ..functions.ieee import lit
 from ..lang import nodes as N
-from ..lang.parser import COMPARISONS, SETS, ParseError, fold_span, kind, parse
+from ..lang.parser import COMPARISONS, SETS, ParseError, fits_empty, fold_span, kind, parse
 from ..operators import aggregate, matching, rangefuncs, selectors
 from ..sources.tables import Source
 from .grid import Grid
@@ -335,6 +335,9 @@ class Engine:
                 out = rangefuncs.line(rows, name, s.column if s.frame is None else parameter)
         if fixed:
             out = selectors.spread(out, context.grid)
+            if name == "predict_linear":  # the line is that of the fixed moment, but it is read at the step
+                out = out.withColumn("f", F.col("f") + F.col("slope") * (F.col("ts") - F.lit(grid.start)) / 1000.0)
+        out = out.select("key", "ts", "f")
         named = samples.named(out)
         return named if name in rangefuncs.KEEP_NAME else named.withColumn("gone", F.lit(True))
 
@@ -397,13 +400,13 @@ class Engine:
         n = F.count("*").over(Window.partitionBy("labels", "ts"))
         return matching.demand(out.withColumn("__n", n), F.col("__n") == 1, "vector cannot contain metrics with the same labelset").drop("__n")
 
-    def _info(self, args: tuple[N.Node, ...], context: Context) -> tuple[DataFrame, tuple[str, ...]]:
-        """The info series, and the labels wanted from them (none: all)."""
+    def _info(self, args: tuple[N.Node, ...], context: Context) -> tuple[DataFrame, tuple[str, ...], bool]:
+        """The info series, the labels wanted from them (none: all), and whether a row has to have them."""
         wanted = N.bare(args[1]).matchers if len(args) == 2 else ()
         named = tuple(m for m in wanted if m.name == L.NAME) or (N.Matcher(L.NAME, "=", "target_info"),)
         data = tuple(m for m in wanted if m.name != L.NAME)
         found = self._select(N.Selector(named + data), context)
-        return found, tuple(m.name for m in data)
+        return found, tuple(m.name for m in data), any(not fits_empty(m) for m in data)
 
     def _sorted(self, node: N.Call, rows: DataFrame) -> DataFrame:
         nan = F.isnan("f")
