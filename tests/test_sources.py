@@ -7,6 +7,8 @@ from tidegrid.plans.engine import Engine
 from tidegrid.sources import tables
 from tidegrid.streaming import ingest
 
+#: A stream's first watermark is 1970, so that samples have to come later.
+HOUR = 3_600_000
 TEXT = 'm{a="1"} 0+1x9\nm{a="2"} 0+2x9\nn{b="3"} 5'
 
 
@@ -34,7 +36,7 @@ def test_repeated_and_contradicting_samples(spark):
 
 def test_streamed_samples_are_queried_as_stored_ones(spark, tmp_path):
     rows = load(spark, TEXT, 1000)
-    flat = rows.samples.join(rows.series, "series_id").select("labels", F.timestamp_millis("ts_ms").alias("ts"), "f", "is_stale")
+    flat = rows.samples.join(rows.series, "series_id").select("labels", F.timestamp_millis(F.col("ts_ms") + HOUR).alias("ts"), "f", "is_stale")
     for k in range(2):
         flat.where(F.col("f") % 2 == k).write.mode("append").parquet(str(tmp_path / "in"))
     flat.limit(3).write.mode("append").parquet(str(tmp_path / "in"))  # some come again
@@ -42,7 +44,7 @@ def test_streamed_samples_are_queried_as_stored_ones(spark, tmp_path):
     ingest.append(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     source = ingest.read(spark, str(tmp_path / "out"))
     assert source.samples.count() == 21
-    assert {r["f"] for r in Engine(spark, source).instant("sum by (a) (m)", 9000).collect()} == {9.0, 18.0}
+    assert {r["f"] for r in Engine(spark, source).instant("sum by (a) (m)", HOUR + 9000).collect()} == {9.0, 18.0}
 
 
 def test_windows_of_a_stream(spark, tmp_path):
