@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -18,8 +19,9 @@ from .graph import components
 
 #: Words of a shingle, and the threshold as a fraction: shingles in both over shingles in either.
 WORDS, OVER, UNDER = 5, 75, 100
-#: Counters of the sketch by which shingles are ordered (a power of two), and bits of the filter of needed documents.
-COUNTERS, FILTER_BITS = 1 << 20, 1 << 24
+#: Counters of the sketch by which shingles are ordered, each kept as one byte (2 to the power of COUNTER_BITS), and bits of the filter of needed documents.
+COUNTER_BITS, FILTER_BITS = 24, 1 << 24
+COUNTERS = 1 << COUNTER_BITS
 #: Turns of stars at most, the last of which takes whole lists.
 TURNS = 12
 #: Parts into which the suffix filter deals a set.
@@ -67,6 +69,10 @@ def _binary(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("h"))
 
 
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
 def _members(docs: DataFrame) -> DataFrame:
     """(id, h, n, cls, parts) of each document, and rows of counts of shingles (slice, counts), from one pass."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -77,7 +83,7 @@ def _members(docs: DataFrame) -> DataFrame:
         names = ["id", "h", "n", "cls", "parts", "slice", "counts"]
         for batch in batches:
             idtype = batch.schema.field("id").type
-            ns, classes, parts = [], [], []
+            ns, classes, parts, fresh = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
                 ns.append(len(found))
@@ -85,9 +91,10 @@ def _members(docs: DataFrame) -> DataFrame:
                 parts.append(np.bincount((found >> np.uint64(8)).astype(np.int64) & (PARTS - 1), minlength=PARTS).astype("<i4").tobytes() if len(found) else None)
                 if name is not None and name not in seen:
                     seen.add(name)
-                    counts += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=COUNTERS) if len(found) > 20_000 else 0
-                    if len(found) <= 20_000:
-                        np.add.at(counts, (found >> np.uint64(44)).astype(np.int64), 1)
+                    fresh.append(found)
+            if fresh:
+                places, times = np.unique(_counter(np.concatenate(fresh)), return_counts=True)
+                counts[places] += times.astype(np.int32)
             n = len(ns)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if seen:
@@ -98,7 +105,7 @@ def _members(docs: DataFrame) -> DataFrame:
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
-    """The sum of all counts; its size is fixed."""
+    """Of each counter the sum of all tasks, by its logarithm in one byte; its size is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -106,11 +113,11 @@ def _sketch(rows: DataFrame) -> np.ndarray:
             for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 mine = np.frombuffer(zstandard.decompress(packed), dtype=np.int32)
                 total[k] = total.get(k, 0) + mine.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype("<i4").tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([np.minimum(8 * np.log2(1 + x), 255).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
-    out = np.zeros((16, COUNTERS // 16), dtype=np.int32)
+    out = np.zeros((16, COUNTERS // 16), dtype=np.uint8)
     for row in rows.select("slice", "counts").repartition(16, "slice").mapInArrow(run, "slice int, counts binary").collect():  # 16 rows of fixed size
-        out[row["slice"]] = np.frombuffer(row["counts"], dtype="<i4")
+        out[row["slice"]] = np.frombuffer(row["counts"], dtype=np.uint8)
     return out.ravel()
 
 
@@ -149,7 +156,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if not len(found) or (name := class_of(found)) in seen:
                     continue
                 seen.add(name)
-                rare = np.lexsort((found, order[(found >> np.uint64(44)).astype(np.int64)]))[: prefix_size(len(found))]
+                rare = np.lexsort((found, order[_counter(found)]))[: prefix_size(len(found))]
                 waiting.append((found[rare], name, len(found)))
                 held += len(rare)
             if held > 1 << 21:
@@ -186,54 +193,114 @@ def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return packs.mapInArrow(meet, "sh long, cls long, n int, pos int")
 
 
-def _near(frame: DataFrame) -> DataFrame:
-    """Pairs (a, n, p) and (b, m, q) that pass the length filter, and whose shared shingle at those places of their
-    prefixes leaves room for the overlap they need (the positional filter)."""
-    need = F.ceil(F.lit(OVER) * (F.col("n") + F.col("m")) / F.lit(OVER + UNDER))
-    fits = (F.lit(UNDER) * F.least("n", "m") >= F.lit(OVER) * F.greatest("n", "m")) & (1 + F.least("p", "q") + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= need)
-    return frame.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _near(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs of sets of sizes n and m, that share a shingle at places p and q of their prefixes, pass the length
+    filter and the positional one: what can be shared before, there and after is enough."""
+    n, p, m, q = (x.astype(np.int64) for x in (n, p, m, q))
+    room = 1 + np.minimum(p, q) + np.minimum(n - p - 1, m - q - 1)
+    return (UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)) & (room >= least_overlap(n, m))
 
 
-def _stars(lists: DataFrame, turn: int) -> DataFrame:
-    """For each shingle's list, and for each range of sizes in it, the pairs of its first set with the others of other
-    components.  ``turn`` changes which set is the first."""
-    rank = F.struct(F.xxhash64("cls", F.lit(turn)).alias("r") if turn else F.col("n").alias("r"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("other"))
-    lists = lists.withColumn("range", F.floor(F.log(F.col("n").cast("double")) * F.lit(3.0) + F.lit(turn / 3.0)))
-    first = lists.groupBy("sh", "range").agg(F.min(rank).alias("first"))
-    pairs = lists.join(first, ["sh", "range"]).select(F.col("cls").alias("a"), "n", F.col("pos").alias("p"), "comp", "first.*").where("a <> b AND comp <> other")
-    return _near(pairs)
+def _prefixes(postings: DataFrame) -> DataFrame:
+    """A row for each set: (cls, n, sh, pos), its shared shingles and their places."""
+    both = postings.groupBy("cls").agg(F.first("n").alias("n"), F.collect_list(F.struct("sh", "pos")).alias("x"))
+    return written(both.select("cls", "n", F.transform("x", lambda y: y["sh"]).alias("sh"), F.transform("x", lambda y: y["pos"]).alias("pos")), "prefixes")
 
 
-def _crossing(lists: DataFrame) -> DataFrame:
-    """All pairs of each list that join two components, found in one pass over the sorted lists."""
+def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, whole: bool) -> DataFrame:
+    """(a, b) pairs of different components, and a row per bucket with its ``open`` pairs and ``rows``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _with_end(batches):
-            if batch is None:
-                here, rest_from, rest = rest or [], len(rest[0]) if rest else 0, None
-            else:
-                here = [np.asarray(x) for x in batch.columns]
-                here = [np.concatenate(x) for x in zip(rest, here, strict=True)] if rest else here
-                rest_from = int(np.searchsorted(here[0], here[0][-1], side="left"))  # its list may go on
-                rest = [x[rest_from:] for x in here]
-            if not rest_from:
+    Sets take their components along (a join of sets, not of shingles), their shingles are packed by bucket, and each
+    bucket's task forms the lists.  In a list of one component there is nothing to do.  Else, with ``whole``, all pairs
+    of different components are made; without, those of one set with the others, the list being cut by sizes.
+    ``turn`` changes the cuts and which set it is.
+    """
+    spark = prefixes.sparkSession
+    buckets = 4 * shuffle_partitions(spark)
+    labelled = prefixes.join(comps, prefixes["cls"] == comps["node"], "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "sh", "pos")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not sizes.sum():
                 continue
-            yield from _crossed([x[:rest_from] for x in here])
+            sh, pos = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4))
+            cls, comp, n = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 1, 2))
+            to = (sh.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+            by = np.argsort(to, kind="stable")
+            ends = np.searchsorted(to[by], np.arange(buckets + 1, dtype=np.uint64))
+            for k in range(buckets):
+                if (mine := by[ends[k] : ends[k + 1]]).size:
+                    data = b"".join(x[mine].tobytes() for x in (sh, cls, comp, n.astype(np.int32), pos.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(mine)], pa.int32()), pa.array([zstandard.compress(data, 1)], pa.binary())], names=["bucket", "size", "data"])
 
-    wanted = lists.select("sh", "comp", "cls", "n", "pos").repartition(shuffle_partitions(lists.sparkSession), "sh").sortWithinPartitions("sh", "comp")
-    return _near(wanted.mapInArrow(run, "a long, n int, p int, b long, m int, q int"))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for k, size, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                packs.setdefault(k, []).append((size, data))
+        while packs:
+            _, mine = packs.popitem()
+            parts = []
+            for size, data in mine:
+                raw = zstandard.decompress(data)
+                parts.append([np.frombuffer(raw, t, size, at * size) for t, at in ((np.int64, 0), (np.int64, 8), (np.int64, 16), (np.int32, 24), (np.int32, 28))])
+            sh, cls, comp, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.lexsort((comp, sh))
+            sh, cls, comp, n, pos = (x[by] for x in (sh, cls, comp, n, pos))
+            begin = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]])
+            mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
+            on = np.repeat(mixed, np.diff(np.r_[begin, len(sh)]))
+            rows = [x[on] for x in (sh, comp, cls, n, pos)]
+            yield _pair_rows(None, None, *_open(rows))
+            for a, b in _crossed(rows) if whole else _starred(rows, turn):
+                yield _pair_rows(a, b, 0.0, 0)
+
+    packs = labelled.mapInArrow(emit, "bucket int, size int, data binary").repartition(shuffle_partitions(spark), "bucket")
+    return packs.mapInArrow(meet, "a long, b long, open double, rows long")
+
+
+def _pair_rows(a: np.ndarray | None, b: np.ndarray | None, open_pairs: float, rows: int) -> pa.RecordBatch:
+    n = 1 if a is None else len(a)
+    ends = [pa.nulls(1, pa.int64())] * 2 if a is None else [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+    return pa.RecordBatch.from_arrays([*ends, pa.array(np.full(n, float(open_pairs))), pa.array(np.full(n, rows, dtype=np.int64))], names=["a", "b", "open", "rows"])
+
+
+def _open(rows: list[np.ndarray]) -> tuple[float, int]:
+    """How many pairs of different components the lists have, and how many rows."""
+    sh, comp = rows[:2]
+    if not len(sh):
+        return 0.0, 0
+    begin = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]])
+    runs = np.flatnonzero(np.r_[True, (sh[1:] != sh[:-1]) | (comp[1:] != comp[:-1])])
+    squares = lambda starts: float((np.diff(np.r_[starts, len(sh)]).astype(float) ** 2).sum())
+    return (squares(begin) - squares(runs)) / 2, len(sh)
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch
-    yield None
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
 
 
-def _crossed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one list and different components; rows are sorted by both."""
+def _starred(rows: list[np.ndarray], turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each list, and each range of sizes in it, the pairs of its first set with those of other components."""
+    sh, comp, cls, n, pos = rows
+    if not len(sh):
+        return
+    span = np.floor(np.log(n.astype(float)) * 3 + turn / 3).astype(np.int64)
+    with np.errstate(over="ignore"):
+        rank = n.astype(np.uint64) if not turn else _mixed(cls.view(np.uint64) + np.uint64(turn) * _MIX)
+    by = np.lexsort((cls, rank, span, sh))
+    sh, comp, cls, n, pos, span = (x[by] for x in (sh, comp, cls, n, pos, span))
+    first = np.flatnonzero(np.r_[True, (sh[1:] != sh[:-1]) | (span[1:] != span[:-1])])
+    lead = np.repeat(first, np.diff(np.r_[first, len(sh)]))
+    keep = (comp != comp[lead]) & _near(n, pos, n[lead], pos[lead])
+    if keep.any():
+        yield _distinct(cls[keep], cls[lead][keep])
+
+
+def _crossed(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one list and different components; rows are sorted by both."""
     sh, comp, cls, n, pos = rows
     if not len(sh):
         return
@@ -247,9 +314,9 @@ def _crossed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not len(y):
             continue
         x = np.repeat(left[some] - np.r_[0, np.cumsum(width[some])[:-1]], width[some]) + np.arange(len(y))
-        keep = UNDER * np.minimum(n[x], n[y]).astype(np.int64) >= OVER * np.maximum(n[x], n[y]).astype(np.int64)
-        x, y = x[keep], y[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cls[x], n[x], pos[x], cls[y], n[y], pos[y])], names=["a", "n", "p", "b", "m", "q"])
+        keep = _near(n[x], pos[x], n[y], pos[y])
+        if keep.any():
+            yield _distinct(cls[x[keep]], cls[y[keep]])
 
 
 def _portions(width: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -307,8 +374,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link.  The suffix filter comes first: sets dealt into parts by hash share no more in a part
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, kept: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) that link.  ``kept``: tables of sets looked up before, to which this adds one if it needs more.  The suffix filter comes first: sets dealt into parts by hash share no more in a part
     than the smaller share has.  The rest are looked up and intersected."""
     info = classes.select("cls", "n", "parts", "rep")
     both = pairs.join(info.select(F.col("cls").alias("a"), F.col("n"), F.col("parts").alias("x"), F.col("rep").alias("ra")), "a").join(info.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("parts").alias("y"), F.col("rep").alias("rb")), "b")
@@ -324,7 +391,12 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
     left = materialise(both.select("a", "b", "n", "m", "x", "y", "ra", "rb").mapInArrow(suffix, f"a long, b long, ra {kind}, rb {kind}"))
     wanted = left.select(F.col("ra").alias("id"), F.col("a").alias("cls")).unionByName(left.select(F.col("rb").alias("id"), F.col("b").alias("cls"))).distinct()
-    sets = written(_sets(docs, materialise(wanted)), "sets")
+    for before in kept:
+        wanted = wanted.join(before.select("cls"), "cls", "left_anti")
+    wanted = materialise(wanted.select("id", "cls"))
+    if not wanted.isEmpty():
+        kept.append(written(_sets(docs, wanted), "sets"))
+    sets = reduce(DataFrame.unionByName, kept)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,25 +435,24 @@ def join(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
     first = written(_members(own), "members")
     members = first.where("slice IS NULL").select("id", "h", "n", "cls", "parts")
     classes = materialise(members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")))
-    postings = written(_postings(own, _sketch(first.where("slice IS NOT NULL"))), "postings")
+    prefixes = _prefixes(_postings(own, _sketch(first.where("slice IS NOT NULL"))))
 
     links = spark.createDataFrame([], "a long, b long")
-    tried = links
-    comps = spark.createDataFrame([], "node long, comp long")
-    known = None
-    for turn in range(TURNS):
-        labelled = postings.join(comps, postings["cls"] == comps["node"], "left").select("sh", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
-        mixed = labelled.groupBy("sh").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sh")
-        lists = materialise(labelled.join(mixed, "sh", "left_semi"))
-        square = lambda c: c.cast("double") * c
-        sizes = lists.groupBy("sh", "comp").agg(F.count("*").alias("k")).groupBy("sh").agg(F.sum("k").alias("all"), F.sum(square(F.col("k"))).alias("within"))
-        open_pairs, rows = sizes.agg(F.sum((square(F.col("all")) - F.col("within")) / 2), F.sum("all")).first()
-        whole = not rows or open_pairs <= 4 * rows or turn > 3 and open_pairs > 0.9 * known or turn == TURNS - 1
-        known = open_pairs
-        pairs = _crossing(lists) if whole else _stars(lists, turn)
+    tried, comps = links, spark.createDataFrame([], "node long, comp long")
+    last, whole, kept = None, False, []
+    for turn in range(TURNS + 1):
+        made = materialise(_candidates(prefixes, comps, turn, whole))
+        pairs = made.where("a IS NOT NULL").select("a", "b").distinct()
+        open_pairs, rows = made.agg(F.sum("open"), F.sum("rows")).first()
+        if not rows:
+            break
+        if turn and not whole and (open_pairs <= 4 * rows or turn > 3 and open_pairs > 0.9 * last or turn == TURNS - 1):
+            whole = True  # few enough: all of them instead of these stars
+            pairs = materialise(_candidates(prefixes, comps, turn, whole)).where("a IS NOT NULL").select("a", "b").distinct()
+        last = open_pairs
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            found = _verified(own, classes, pairs)
+            found = _verified(own, classes, pairs, kept)
             links, tried = materialise(links.unionByName(found)), materialise(tried.unionByName(pairs))
             comps = components(links)
         if whole:
