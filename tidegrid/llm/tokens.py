@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Where a text may be cut without changing its ids: before a single space (or any of the six white-space characters)
 #: that follows something else.  Texts with other white space, or with special tokens' names, are encoded in one piece.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
+_ODD = re.compile("[\x00\x1c-\x1f\x85\xa0  -     　]|<\\|")
 _RUN = re.compile(r"[\x20\x09-\x0D]{2}")
 #: Letters and marks of which every tokenizer here makes one word each, letters before marks.
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _PIECE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
 
+class _Kept(dict):
+    """What was encoded; encodes what wasn't when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = self.encode(piece)
+        return found
+
+
 _WORKERS: dict[str, Encoder] = {}
 
 
@@ -34,15 +46,14 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         letters = [chr(i) for i in range(33, 256) if _PLAIN.fullmatch(f"a{chr(i)}")]
         self.bytes = str.maketrans({x: self.parts.pre_tokenize_str(x)[0][0] for x in letters} | {" ": self.parts.pre_tokenize_str("\n ")[-1][0][-1] if spaces else ""})
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Kept(self._piece)
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
 
     def _pieces(self, text: str) -> list[str]:
         if not self.spaces:
             return text.split()
         if _RUN.search(text) is None:
-            first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         return _PIECE.findall(text)
 
     def _piece(self, piece: str) -> bytes:
@@ -60,36 +71,23 @@ class Encoder:
         for word in found:
             got = words.get(word)
             if got is None:
-                got = words[word] = np.array([t.id for t in self.model.tokenize(word)], dtype=self.dtype).tobytes()
+                got = words[word] = array("I" if self.wide else "H", [t.id for t in self.model.tokenize(word)]).tobytes()
             out.append(got)
         return b"".join(out)
 
     def raw(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``dtype``; null texts have none."""
-        encode = self.tokenizer.encode_batch_fast
-        out: list[bytes | None] = [None] * len(texts)
-        cut, whole, new = [], [], set()
-        kept = self.kept
-        for i, text in enumerate(texts):
+        out, kept = [], self.kept
+        for text in texts:
             if not text:
-                out[i] = b""
+                out.append(b"")
             elif _ODD.search(text):
-                whole.append(i)
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(np.array(found, dtype=self.dtype).tobytes())
             else:
-                pieces = self._pieces(text)
-                cut.append((i, pieces))
-                new.update(pieces)
-        new.difference_update(kept)
-        if new:
-            if len(kept) + len(new) > self.most and kept:
-                kept.clear()
-                new = {x for _, pieces in cut for x in pieces}
-            for piece in new:
-                kept[piece] = self._piece(piece)
-        for i, pieces in cut:
-            out[i] = b"".join(map(kept.__getitem__, pieces))
-        for i in whole:
-            out[i] = np.array(encode([texts[i]], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
+                if len(kept) > self.most:
+                    kept.clear()
+                out.append(b"".join(map(kept.__getitem__, self._pieces(text))))
         return out
 
     @classmethod
