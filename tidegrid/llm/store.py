@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -77,6 +78,7 @@ def unpacked(data: bytes, lengths: list[int], width: int) -> list[bytes]:
     return [flat[end - n * width : end] for n, end in zip(lengths, ends, strict=True)]
 
 
+@lru_cache(maxsize=1)
 def _powers() -> np.ndarray:
     """x^(2^k) modulo the polynomial of crc32, bits reversed."""
     out = [np.uint32(1 << 30)]
@@ -203,15 +205,19 @@ def write(docs: DataFrame, tokenizer: str, *, end: int, spaces: bool = False, id
     own.mapInArrow(encode, schema).write.parquet(staging, compression="zstd")
     staged = spark.read.schema(schema).parquet(staging)
 
+    block = pa.schema([("bucket", pa.int32()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("packed", pa.binary())])
+
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for row in batch.to_pylist():
                 fresh = [(d, n, x) for d, n, x in zip(row["digests"], row["lengths"], unpacked(row["packed"], row["lengths"], width), strict=True) if d not in seen]
-                if fresh:
+                if len(fresh) == len(row["digests"]):
+                    seen.update(row["digests"])
+                    yield pa.RecordBatch.from_pylist([row], schema=block)
+                elif fresh:
                     seen.update(d for d, _, _ in fresh)
-                    yield pa.RecordBatch.from_pylist([{"bucket": row["bucket"], "digests": [d for d, _, _ in fresh], "lengths": [n for _, n, _ in fresh], "packed": packed([x for *_, x in fresh], width)}],
-                                                     schema=pa.schema([("bucket", pa.int32()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("packed", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist([{"bucket": row["bucket"], "digests": [d for d, _, _ in fresh], "lengths": [n for _, n, _ in fresh], "packed": packed([x for *_, x in fresh], width)}], schema=block)
 
     chunks = "bucket int, digests array<binary>, lengths array<int>, packed binary"
     staged.where("bucket IS NOT NULL").select("bucket", "digests", "lengths", "packed").repartition(buckets, "bucket").mapInArrow(unique, chunks).write.parquet(f"{store}/chunks", compression="none")
@@ -256,13 +262,20 @@ def read(spark: SparkSession, store: Store) -> DataFrame:
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            recipe, found = batch.column(batch.schema.get_field_index("digests")).to_pylist(), batch.column(batch.schema.get_field_index("parts")).to_pylist()
-            ns, roots = batch.column(batch.schema.get_field_index("n_tokens")).to_pylist(), batch.column(batch.schema.get_field_index("root")).to_pylist()
-            sound = [p is not None and all(x["good"] for x in p) and sum(x["size"] or 0 for x in p) == n and merkle(list(d)) == r for p, n, d, r in zip(found, ns, recipe, roots, strict=True)]
-            flat = [(x["crc"] or 0, x["size"] or 0) for p in found for x in (p or [{"crc": 0, "size": 0}])]
-            starts = np.cumsum([0, *[len(p or [0]) for p in found]])[:-1]
-            crc = joined_crc(np.array([c for c, _ in flat], dtype=np.uint32), np.array([4 * s for _, s in flat], dtype=np.int64), starts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(batch.schema.get_field_index("n_tokens")), pa.array(crc.astype(np.int64)), pa.array(sound, pa.bool_())], names=["id", "start", "n_tokens", "ids_crc32", "sound"])
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            count = column("parts").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column("parts").flatten()
+            size, crcs = (flat.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in (1, 2))
+            good = flat.field(3).fill_null(False).to_numpy(zero_copy_only=False)
+            has = np.flatnonzero(count)  # the others have lost their recipe
+            starts = (np.cumsum(count) - count)[has]
+            crc, whole_size, bad = (np.zeros(len(count), dtype=np.int64) for _ in range(3))
+            if len(has):
+                crc[has] = joined_crc(crcs.astype(np.uint32), 4 * size.astype(np.int64), starts)
+                whole_size[has], bad[has] = np.add.reduceat(size, starts), np.add.reduceat(~good, starts, dtype=np.int64)
+            roots = [merkle(x or []) == r for x, r in zip(column("digests").to_pylist(), column("root").to_pylist(), strict=True)]
+            sound = (bad == 0) & (whole_size == column("n_tokens").to_numpy(zero_copy_only=False)) & np.array(roots, dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(batch.schema.get_field_index("n_tokens")), pa.array(crc), pa.array(sound)], names=["id", "start", "n_tokens", "ids_crc32", "sound"])
 
     whole = intact(spark, store)
     rows = recipes.select("id", "start", "n_tokens", "digests", "root", "ordinal").join(parts, "ordinal", "left").select("id", "start", "n_tokens", "digests", "root", "parts")
