@@ -101,7 +101,7 @@ def _dealt(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
                 h[-1] = END
                 waiting.append((uid, id, learn, h))
                 held += len(h)
-            if held > 3_000_000:
+            if held > 1_500_000:
                 yield from flush()
                 held = 0
         if waiting:
@@ -179,7 +179,7 @@ def score(docs: DataFrame, learn: Column, *, weight: float = WEIGHT, id: str = "
     hot = np.array(sorted((int(np.int64(r["word"]).view(np.uint64)), r["count"]) for r in hot_rows), dtype=np.uint64).reshape(-1, 2)
     common, hot_counts = hot[:, 0].copy(), hot[:, 1].astype(np.int64)
     shared = spark.sparkContext.broadcast((common, hot_counts))
-    shards = max(12, shuffle_partitions(spark) // 2)
+    shards = max(12, shuffle_partitions(spark))
     whole = np.log10(total + 0.5 * (kinds + 1))
     kind = own.schema["id"].dataType.simpleString()
 
@@ -218,6 +218,7 @@ def score(docs: DataFrame, learn: Column, *, weight: float = WEIGHT, id: str = "
             gain = np.where(pair >= 0, restored(trie.value[pair]) if len(trie.value) else 0.0, np.log10(weight * small(counts)))
             loss = np.where(at >= 0, restored(trie.as_context[at]) if len(trie.as_context) else 0.0, np.log10(counts + weight))
             loss[word == np.uint64(END)] = np.log10(texts + weight)  # what the start of the text costs
+            del word, before, pair, at
             sums = [np.bincount(text, weights=x, minlength=start) for x in (np.log10(counts + 0.5), gain - loss, counts > 0)]
             n = np.bincount(text, minlength=start)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(uids), pa.concat_arrays(ids), pa.array(n, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["uid", "id", "n", "known", "base", "score"])
