@@ -52,6 +52,36 @@ def test_components_against_brute_force(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str) == brute(rows)
 
 
+def links_by_hand(rows):
+    """How many other sets each row's set links to."""
+    sets = {i: frozenset(jaccard.shingles(t.encode()).tolist()) for i, t in rows}
+    different = set(sets.values())
+    count = {x: sum(100 * len(x & y) >= 75 * len(x | y) for y in different) - 1 for x in different}
+    return {i: count[x] for i, x in sets.items()}
+
+
+def test_every_link_counts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = [f"w{k}" for k in range(200)]
+    edited = lambda k: " ".join([*text[:k], f"x{k}", *text[k + 1 : 200 - int(rng.integers(0, 40))]])
+    rows = mutated(20, 4)
+    rows += [(1000 + k, edited(k)) for k in range(90)] + [(2000 + k, rows[k][1]) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    wanted = links_by_hand(rows)
+    assert max(wanted.values()) > 60
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.join(docs).collect()} == wanted
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.join(docs).collect()} == wanted
+
+
+def test_overlaps_of_sets():
+    rng = np.random.default_rng(1)
+    xs, ys = ([np.unique(rng.integers(0, 300, k).astype(np.uint64)) for k in sizes] for sizes in ((1, 40, 200, 7), (90, 5, 150)))
+    assert jaccard._overlaps(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    names, back = jaccard._unblock(jaccard._block([3, -4, 5, 6], xs))
+    assert names.tolist() == [3, -4, 5, 6] and all((a == b).all() for a, b in zip(back, xs, strict=True))
+
+
 def test_messy(messy):
     rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
     out = jaccard.join(messy).collect()

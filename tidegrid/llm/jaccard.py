@@ -9,6 +9,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ COUNTERS = 1 << COUNTER_BITS
 TURNS = 12
 #: Parts into which the suffix filter deals a set.
 PARTS = 16
+#: Sets, and shingles of all of them, of a block in which links are counted at once.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -411,14 +414,131 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, kept: list[
     return materialise(loaded.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
+def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``xs`` shares with each of ``ys``: products of matrices, some columns at a time."""
+    vocabulary = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    out, width = np.zeros((len(xs), len(ys)), dtype=np.int64), max(1, (1 << 21) // max(len(xs), len(ys)))
+    if not len(vocabulary):
+        return out
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, found = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        k = np.minimum(np.searchsorted(vocabulary, found), len(vocabulary) - 1)
+        on = vocabulary[k] == found
+        by = np.argsort(k[on], kind="stable")
+        return row[on][by], k[on][by]
+
+    sides = [(len(xs), *places(xs)), (len(ys), *places(ys))]
+    for at in range(0, len(vocabulary), width):
+        dense = []
+        for n, row, k in sides:
+            a, b = np.searchsorted(k, (at, at + width))
+            some = np.zeros((n, min(width, len(vocabulary) - at)), dtype=np.float32)  # exact: at most 2^21 ones are added
+            some[row[a:b], k[a:b] - at] = 1
+            dense.append(some)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _linked(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """For each set of ``xs``, how many of ``ys`` reach the threshold with it."""
+    shared = _overlaps(xs, ys)
+    n, m = (np.array([len(s) for s in sets]) for sets in (xs, ys))
+    return (UNDER * shared >= OVER * (n[:, None] + m[None, :] - shared)).sum(1)
+
+
+def _block(names: list[int], sets: list[np.ndarray]) -> bytes:
+    vocabulary, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    head = np.array([len(sets), len(vocabulary)], dtype="<i8")
+    parts = (head, np.array(names, dtype="<i8"), np.array([len(s) for s in sets], dtype="<i8"), vocabulary.astype("<u8"), codes.astype("<u4"))
+    return zstandard.compress(b"".join(x.tobytes() for x in parts), 1)
+
+
+def _unblock(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    raw = zstandard.decompress(data)
+    n, m = np.frombuffer(raw, "<i8", 2).tolist()
+    names, sizes = np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<i8", n, 16 + 8 * n)
+    vocabulary = np.frombuffer(raw, "<u8", m, 16 + 16 * n)
+    return names, np.split(vocabulary[np.frombuffer(raw, "<u4", offset=16 + 16 * n + 8 * m)], np.cumsum(sizes)[:-1])
+
+
+def _counted(comps: DataFrame, classes: DataFrame, kept: list[DataFrame]) -> DataFrame:
+    """(cls, n_links) of every class of a component: how many other classes of it reach the threshold with it.
+
+    No link leaves a component, so all pairs of one are all that there is to see.  They never become rows: classes are
+    dealt by component and size into blocks, each block is held against itself and against those of its component of
+    which the sizes allow a link, and what is kept is a count for each class.
+    """
+    spark = comps.sparkSession
+    most, room = BLOCK_SETS, BLOCK_SHINGLES
+    own = comps.select(F.col("node").alias("cls"), "comp").join(classes.select("cls", "n"), "cls")
+    loaded = reduce(DataFrame.unionByName, kept).join(own, "cls").select("comp", "cls", "n", "set")
+    dealt = loaded.repartitionByRange(shuffle_partitions(spark), "comp", "n", "cls").sortWithinPartitions("comp", "n", "cls")
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, first = TaskContext.get().partitionId() << 32, 0, None
+        now, names, sets, held, parts = None, [], [], 0, 0
+
+        def close(ended: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal made, held, parts
+            n = len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(_linked(sets, sets) - 1), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary())], names=["cls", "links", "comp", "block", "lo", "hi", "data"])
+            if not (ended and parts == 0 and now != first):  # else the component has this block only
+                row = [None, None, now, part + made, len(sets[0]), len(sets[-1])]
+                yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in row], pa.array([_block(names, sets)], pa.binary())], names=["cls", "links", "comp", "block", "lo", "hi", "data"])
+            made, held, parts = made + 1, 0, parts + 1
+            names.clear()
+            sets.clear()
+
+        for batch in batches:
+            for comp, name, data in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                found = np.frombuffer(data, np.uint64)
+                if names and (comp != now or len(names) == most or held + len(found) > room):
+                    yield from close(comp != now)
+                if comp != now:
+                    first, now, parts = comp if now is None else first, comp, 0
+                names.append(name)
+                sets.append(found)
+                held += len(found)
+        if names:
+            yield from close(False)
+
+    made = materialise(dealt.mapInArrow(form, "cls long, links long, comp long, block long, lo long, hi long, data binary"))
+    blocks = made.where("data IS NOT NULL").select("comp", "block", "lo", "hi", "data")
+    one, other = (blocks.select("comp", *[F.col(c).alias(f"{c}{k}") for c in ("block", "lo", "hi")]) for k in (1, 2))
+    pairs = one.join(other, "comp").where(f"block1 <> block2 AND {UNDER} * hi1 >= {OVER} * lo2 AND {UNDER} * hi2 >= {OVER} * lo1")
+    against = pairs.select("block1", F.col("block2").alias("block")).join(blocks.select("block", "data"), "block").select("block1", F.lit(1).alias("k"), "data")
+    rows = blocks.select(F.col("block").alias("block1"), F.lit(0).alias("k"), "data").unionByName(against)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sets, total = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if names is not None and total.any():
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], names=["cls", "links"])
+
+        for batch in batches:
+            for k, data in zip(batch.column(1), batch.column(2), strict=True):  # a block, then those it is held against
+                if not k.as_py():
+                    yield from done()
+                    names, sets = _unblock(data.as_py())
+                    total = np.zeros(len(names), dtype=np.int64)
+                else:
+                    total += _linked(sets, _unblock(data.as_py())[1])
+        yield from done()
+
+    across = rows.repartition(shuffle_partitions(spark), "block1").sortWithinPartitions("block1", "k").mapInArrow(hold, "cls long, links long")
+    return made.where("cls IS NOT NULL").select("cls", "links").unionByName(across).groupBy("cls").agg(F.sum("links").alias("n_links"))
+
+
 def join(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id, n_shingles, component_id, n_links``, and ``__text``, the text's hash, and ``__comp``,
     which tells components apart where rows share an id (null without shingles).
 
     Documents link when their sets of shingles of five words (ASCII letters in lower case) have a Jaccard similarity of
     0.75 or more; ``component_id`` is the smallest id that links reach.  Equal sets are one class, which is all that
-    the join sees.  ``n_links`` counts the other classes that a verified pair joined to a document's class; a pair
-    within a component already found isn't verified again, for it can't change a component.
+    the join sees.  ``n_links`` counts the other classes that link to a document's class, all of them: components are found
+    from as few pairs as will do, then the links within each are counted, without a row for each.
 
     Candidates come from prefixes: sets in the order of a sketch of their shingles' counts, rarest first, and so short
     that two linked sets share a shingle of their prefixes.  To keep large groups of near copies from making all their
@@ -429,6 +549,12 @@ def join(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
     their own, but none is a component's smallest unless all are null.  Repeated rows and ids are kept.  Empty table:
     no rows.  Very long texts count whole.
     """
+    members, classes, comps, kept = _components(docs, id, text)
+    return _result(members, classes, comps, _counted(comps, classes, kept) if kept else None, id)
+
+
+def _components(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(members, classes, components of the classes that link, tables with at least those classes' sets)."""
     spark = docs.sparkSession
     small_batches(spark)
     own = _binary(docs, id, text)
@@ -457,11 +583,11 @@ def join(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
             comps = components(links)
         if whole:
             break
-    return _result(members, classes, links, comps, id)
+    return members, classes, comps, kept
 
 
-def _result(members: DataFrame, classes: DataFrame, links: DataFrame, comps: DataFrame, id: str) -> DataFrame:
-    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
+def _result(members: DataFrame, classes: DataFrame, comps: DataFrame, counts: DataFrame | None, id: str) -> DataFrame:
+    ends = counts if counts is not None else classes.select("cls", F.lit(0).cast("long").alias("n_links")).limit(0)
     named = classes.join(comps, classes["cls"] == comps["node"], "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     placed = materialise(named.join(lowest, "comp").join(ends, "cls", "left").select("cls", "comp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
@@ -475,7 +601,8 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Data
     Most texts aren't moved for this: a filter of fixed size tells which rows may have to go, and only those are joined
     with the list of rows.
     """
-    found = join(docs, id=id, text=text).select(F.col(id).alias("id"), "__text", F.coalesce("__comp", F.xxhash64(id, "__text")).alias("comp"))
+    members, classes, comps, _ = _components(docs, id, text)
+    found = _result(members, classes, comps, None, id).select(F.col(id).alias("id"), "__text", F.coalesce("__comp", F.xxhash64(id, "__text")).alias("comp"))
     keys = found.groupBy("id", "__text", "comp").agg(F.count("*").alias("times"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "__text")
     best = keys.groupBy(F.col("comp").alias("comp2")).agg(F.min(order).alias("best"))
