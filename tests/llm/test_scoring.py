@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.llm import scoring
-from tidegrid.llm.trie import EliasFano, Trie
+from tidegrid.llm.trie import EliasFano, Trie, quantised, restored
 
 
 def by_hand(rows, weight):
@@ -38,6 +38,19 @@ def test_against_brute_force(messy):
         assert abs(r["score"] - whole) <= n * 3e-4
 
 
+def test_counts_over_a_hundred_million(messy):
+    rows = [(r["doc_id"], r["text"], r["doc_id"] != 3) for r in messy.collect()]
+    wanted = sorted(by_hand(rows, 1e10), key=lambda r: (str(r[0]), r[1], r[4]))
+    out = sorted(scoring.score(messy, F.col("doc_id") != 3, weight=1e10).collect(), key=lambda r: (str(r["doc_id"]), r["n_tokens"], r["base_score"]))
+    for r, (_, n, _, _, _, whole) in zip(out, wanted, strict=True):
+        assert abs(r["score"] - whole) <= n * 3e-4
+
+
+def test_shares_come_back():
+    x = np.log10(np.array([1.0, 0.3, 1e-8, 3e-9, 1e-15]))
+    assert np.abs(restored(quantised(x)) - x).max() <= 1.01 / 8192
+
+
 def test_nothing_to_learn_from(messy, nothing):
     out = scoring.score(messy, F.lit(False)).collect()
     assert len(out) == messy.count() and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in out)

@@ -158,7 +158,8 @@ def score(docs: DataFrame, learn: Column, *, weight: float = WEIGHT, id: str = "
     Returns per row ``id, learned, n_tokens, n_known, train_tokens, base_score, score``.  Tokens are the words (ASCII
     letters in lower case) and an end.  base: log10((c + 0.5) / (N + 0.5 (V + 1))) summed over tokens.  score: the
     same as the smaller model P1 of a larger one, P(w | v) = (c(vw) + weight P1(w)) / (c(v) + weight), v being the word
-    before or the start of the text, its logarithms quantised in steps of 1/4096.
+    before or the start of the text, its logarithms quantised in steps of 1/4096: of the larger model's counts as shares of the word's and of all tokens',
+    which do not grow with the corpus.
 
     One shuffle brings all tokens of a word, learned from or not, to one shard, together with the word before.  The
     shard builds its trie (words, their contexts) in a file, maps it, and looks up its tokens; what it has to say of a
@@ -211,12 +212,12 @@ def score(docs: DataFrame, learn: Column, *, weight: float = WEIGHT, id: str = "
                 start += len(flags)
             packs.clear()
             word, before, text, learned = (np.concatenate(x) for x in (word, before, text, learned))
-            trie = _trie(word[learned], before[learned], whole_counts, lambda c, of: np.log10(c + weight * small(of)), lambda c: np.log10(c + weight))
+            trie = _trie(word[learned], before[learned], whole_counts, lambda c, of: np.log10((c + weight * small(of)) / (of + weight)), lambda c: np.log10((c + weight) / (total + weight)))
             at = trie.find(word)
             counts = np.where(at >= 0, trie.counts[at] if len(trie.counts) else 0, whole_counts(word, np.zeros(len(word), np.int64)))
             pair = trie.pairs(at, before)
-            gain = np.where(pair >= 0, restored(trie.value[pair]) if len(trie.value) else 0.0, np.log10(weight * small(counts)))
-            loss = np.where(at >= 0, restored(trie.as_context[at]) if len(trie.as_context) else 0.0, np.log10(counts + weight))
+            gain = np.where(pair >= 0, np.log10(counts + weight) + (restored(trie.value[pair]) if len(trie.value) else 0.0), np.log10(weight * small(counts)))
+            loss = np.where(at >= 0, np.log10(total + weight) + (restored(trie.as_context[at]) if len(trie.as_context) else 0.0), np.log10(counts + weight))
             loss[word == np.uint64(END)] = np.log10(texts + weight)  # what the start of the text costs
             del word, before, pair, at
             sums = [np.bincount(text, weights=x, minlength=start) for x in (np.log10(counts + 0.5), gain - loss, counts > 0)]

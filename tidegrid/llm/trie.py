@@ -8,8 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Steps in which logarithms are kept, and the least one.
-STEP, FLOOR = 1 / 4096, -8.0
+#: Steps in which logarithms of shares are kept, and the least one; the greatest is 0.
+STEP, FLOOR = 1 / 4096, -65_535 / 4096
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -80,7 +80,8 @@ class Trie:
     @classmethod
     def build(cls, word: np.ndarray, context: np.ndarray, count: np.ndarray, word_count, pair_value, context_value) -> Trie:
         """From distinct pairs sorted by word and context.  ``word_count(words, sums)`` gives the words' whole counts;
-        ``pair_value(pair counts, their words' counts)`` and ``context_value(counts)`` are logarithms to keep."""
+        ``pair_value(pair counts, their words' counts)`` and ``context_value(counts)`` are logarithms to keep, of shares:
+        at most 0, however large the counts are."""
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
         words = word[first]
         sums = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
