@@ -31,6 +31,30 @@ def test_a_score_is_the_softmax_of_averaged_vectors(model):
     assert model.scores([text], quality.Lexicon(model.shape, model.value))[0] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-6)
 
 
+def test_long_texts_without_spaces_count_whole(model):
+    good = "".join(t.replace(" ", "") for t, y in corpus(60) if y)
+    lexicon = quality.Lexicon(model.shape, model.value)
+    best, spoilt, late = model.scores([good, good[:80] + "$$$" * 2000, "$$$" * 40 + good], lexicon)
+    assert best > 0.9 and best - spoilt > 0.3 and late > spoilt
+    assert not lexicon
+    raw = np.mean(model.value[[*quality.subwords(good, model.shape), quality.END]], dtype=np.float64) + model.bias
+    assert best == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-6)
+
+
+def test_training_reads_long_words_whole():
+    rows = [("x" * 70 + ("ab" if k % 2 else "cd") * (20 + k), k % 2) for k in range(200)]
+    model = quality.train(rows)
+    scores = model.scores([t for t, _ in rows], quality.Lexicon(model.shape, model.value))
+    assert np.mean((scores >= 0.5) == np.array([y for _, y in rows])) > 0.97
+
+
+@pytest.mark.parametrize("word", ["x", "日本語" * 90, "a\u00e9\U0001f600\ud800z" * 40, "plain" * 100])
+def test_streamed_subwords_are_the_subwords(word):
+    for most in (1, 7, 64, 1 << 18):
+        found = np.concatenate(list(quality.streamed_subwords(word, quality.Shape(), most)))
+        assert sorted(found.tolist()) == sorted(quality.subwords(word, quality.Shape()))
+
+
 def test_every_row_is_scored(messy, model):
     out = quality.with_score(messy, model)
     assert out.columns == [*messy.columns, "score"] and out.count() == messy.count()

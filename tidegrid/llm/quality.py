@@ -18,6 +18,9 @@ from .common import small_batches, table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Words of more characters are hashed as arrays and kept in no lexicon.
+LONG = 64
+
 #: Stands for "this word is the one before it" among the word n-grams, and for the end of a text.
 SAME, END = 0, 1
 
@@ -36,15 +39,45 @@ class Shape:
 
 
 def subwords(word: str, shape: Shape) -> list[int]:
-    """Buckets of the whole word and of its character n-grams; a very long word adds those of its first 64 characters
-    to the hash of the whole."""
-    marked, n = f"<{word[:64]}>", shape.buckets - 2
+    """Buckets of the whole word and of its character n-grams."""
+    marked, n = f"<{word}>", shape.buckets - 2
     grams = [marked[i : i + k] for k in range(shape.min_n, shape.max_n + 1) for i in range(len(marked) - k + 1)]
     return [2 + zlib.crc32(g.encode("utf-8", "surrogatepass")) % n for g in (word, *grams)]
 
 
+def _crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(0xEDB88320), out >> 1).astype(np.uint32)
+    return out
+
+
+_CRC = _crc_table()
+
+
+def streamed_subwords(word: str, shape: Shape, most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The buckets of ``subwords`` by portions, for words of any length: all n-grams that start at the same ``most``
+    characters grow by a character at a time."""
+    marked, n = f"<{word}>", shape.buckets - 2
+    yield np.array([2 + zlib.crc32(word.encode("utf-8", "surrogatepass")) % n])
+    for at in range(0, len(marked), most):
+        data = np.frombuffer(marked[at : at + most + shape.max_n - 1].encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        begin = np.flatnonzero((data & 0xC0) != 0x80)
+        size = np.diff(np.r_[begin, len(data)])
+        crc = np.full(min(most, len(begin)), 0xFFFFFFFF, dtype=np.uint32)
+        for k in range(min(shape.max_n, len(begin))):
+            crc = crc[: len(begin) - k]
+            first, bytes_of = begin[k : k + len(crc)], size[k : k + len(crc)]
+            for j in range(int(bytes_of.max())):
+                on = np.flatnonzero(bytes_of > j)
+                crc[on] = _CRC[(crc[on] ^ data[first[on] + j]) & 0xFF] ^ (crc[on] >> 8)
+            if k + 1 >= shape.min_n:
+                yield 2 + (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % n
+
+
 class Lexicon(dict):
-    """Word -> place in the arrays of what is kept of each word; forgets all when it holds too many words."""
+    """Word -> place in the arrays of what is kept of each word; forgets all when it holds too many words.  A long word
+    gets a place for the sum of its n-grams, but no entry."""
 
     def __init__(self, shape: Shape, value: np.ndarray | None = None, most: int = 400_000):
         self.shape, self.value, self.most = shape, value, most
@@ -55,6 +88,13 @@ class Lexicon(dict):
         self.sums, self.counts, self.grams = [], [], []
 
     def __missing__(self, word: str) -> int:
+        if len(word) > LONG and self.value is not None:
+            total, n = 0.0, 0
+            for found in streamed_subwords(word, self.shape):
+                total, n = total + float(self.value[found].sum(dtype=np.float64)), n + len(found)
+            self.sums.append(total)
+            self.counts.append(n)
+            return len(self.counts) - 1
         found = subwords(word, self.shape)
         if self.value is None:
             self.grams.append(found)
@@ -80,7 +120,7 @@ class Model:
     def scores(self, texts: Iterator[str | None], words: Lexicon) -> np.ndarray:
         out = []
         for text in texts:
-            if len(words) > words.most:
+            if len(words.counts) > words.most:
                 words.reset()
             found = split(text)
             places = list(map(words.__getitem__, found))
@@ -103,9 +143,15 @@ def train(rows: list[tuple[str | None, int]], shape: Shape = Shape()) -> Model:
     words, docs = Lexicon(shape), []
     for text, label in rows:
         found = split(text)
-        places = list(map(words.__getitem__, found))
+        places = [words[w] for w in found if len(w) <= LONG]
         ids = [g for p in places for g in words.grams[p]] + [SAME] * (shape.max_n * sum(map(eq, found, found[1:]))) + [END]
-        unique, count = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
+        count = np.bincount(np.array(ids, dtype=np.int64), minlength=shape.buckets)
+        for word in found:
+            if len(word) > LONG:
+                for some in streamed_subwords(word, shape):
+                    count += np.bincount(some, minlength=shape.buckets)
+        unique = np.flatnonzero(count)
+        count = count[unique]
         docs.append((unique, (count / count.sum()).astype(np.float32), int(label)))
         if len(words) > words.most:
             words.reset()
