@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
 from .common import materialise, shuffle_partitions, small_batches, table, written
@@ -23,10 +24,16 @@ WORDS, OVER, UNDER = 5, 75, 100
 #: Counters of the sketch by which shingles are ordered, each kept as one byte (2 to the power of COUNTER_BITS), and bits of the filter of needed documents.
 COUNTER_BITS, FILTER_BITS = 24, 1 << 24
 COUNTERS = 1 << COUNTER_BITS
-#: Turns of stars at most, the last of which takes whole lists.
-TURNS = 12
+#: Lists of a bucket are taken whole where that makes at most so many pairs for each row; else by stars, for so many turns.
+FEW, TURNS = 16, 5
+#: Least shingles of a set by which it is told into which star of a list it may belong.
+SIGNS = 8
+#: Pairs of one set that are verified in one task.
+SHARE = 4096
 #: Parts into which the suffix filter deals a set.
 PARTS = 16
+#: Slices of the sketch, and to which power of 2 packs of tasks are put together at once.
+SLICES, FAN_BITS = 16, 6
 #: Sets, and shingles of all of them, of a block in which links are counted at once.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17
 
@@ -77,13 +84,12 @@ def _counter(found: np.ndarray) -> np.ndarray:
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    """(id, h, n, cls, parts) of each document, and rows of counts of shingles (slice, counts), from one pass."""
+    """(id, h, n, cls, parts) of each document, and rows of counts of shingles (slice, task, counts), from one pass."""
     kind = docs.schema["id"].dataType.simpleString()
-    slices, width = 16, COUNTERS // 16
+    names = ["id", "h", "n", "cls", "parts", "slice", "task", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, idtype = np.zeros(COUNTERS, dtype=np.int32), set(), None
-        names = ["id", "h", "n", "cls", "parts", "slice", "counts"]
         for batch in batches:
             idtype = batch.schema.field("id").type
             ns, classes, parts, fresh = [], [], [], []
@@ -99,39 +105,59 @@ def _members(docs: DataFrame) -> DataFrame:
                 places, times = np.unique(_counter(np.concatenate(fresh)), return_counts=True)
                 counts[places] += times.astype(np.int32)
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(parts, pa.binary()), *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.binary())], names=names)
         if seen:
-            packs = [zstandard.compress(counts[k * width : (k + 1) * width].tobytes(), 1) for k in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(slices, idtype), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(packs, pa.binary())], names=names)
+            packs, task = [zstandard.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)], TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, idtype), *[pa.nulls(SLICES, pa.int64())] * 3, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array(packs, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"id {kind}, h long, n long, cls long, parts binary, slice int, counts binary")
+    return docs.mapInArrow(run, f"id {kind}, h long, n long, cls long, parts binary, slice int, task int, counts binary")
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
-    """Of each counter the sum of all tasks, by its logarithm in one byte; its size is fixed."""
+def _merged(rows: DataFrame, add) -> DataFrame:
+    """Of (slice, task, data) one row for each slice: packs of equal size are put together by ``add``, those of up to
+    ``FAN`` tasks first, so that no task takes one from every task there was."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = np.frombuffer(zstandard.decompress(packed), dtype=np.int32)
-                total[k] = total.get(k, 0) + mine.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([np.minimum(8 * np.log2(1 + x), 255).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
-
-    out = np.zeros((16, COUNTERS // 16), dtype=np.uint8)
-    for row in rows.select("slice", "counts").repartition(16, "slice").mapInArrow(run, "slice int, counts binary").collect():  # 16 rows of fixed size
-        out[row["slice"]] = np.frombuffer(row["counts"], dtype=np.uint8)
+            for k, task, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                mine = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
+                total[k, task] = add(total[k, task], mine) if (k, task) in total else mine
+        for (k, task), x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1)])], names=["slice", "task", "data"])
+
+    shape, n = "slice int, task int, data binary", shuffle_partitions(rows.sparkSession)
+    some = rows.select("slice", F.shiftright("task", FAN_BITS).alias("task"), "data").repartition(n, "slice", "task").mapInArrow(run, shape)
+    return some.select("slice", F.lit(0).alias("task"), "data").repartition(n, "slice").mapInArrow(run, shape)
+
+
+def _sketch(rows: DataFrame) -> np.ndarray:
+    """Of each counter the sum of all tasks, by its logarithm in one byte; its size is fixed."""
+    add = lambda x, y: (x.view(np.int32) + np.minimum(y.view(np.int32), np.iinfo(np.int32).max - x.view(np.int32))).view(np.uint8)
+    out = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.uint8)
+    for row in _merged(rows.select("slice", "task", F.col("counts").alias("data")), add).toLocalIterator():  # as many rows as slices
+        out[row["slice"]] = np.minimum(8 * np.log2(1 + np.frombuffer(zstandard.decompress(row["data"]), dtype=np.int32)), 255)
     return out.ravel()
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(sh, cls, n, pos) of every shingle that stands in two prefixes at least.
+def _signs(found: np.ndarray) -> np.ndarray:
+    """The least shingle of each of ``SIGNS`` classes of shingles, 16 bits of it: alike in two sets about as often as they
+    share shingles."""
+    of, out = (found >> np.uint64(3)).astype(np.int64) % SIGNS, np.zeros(SIGNS, dtype=np.uint16)
+    at, first = np.unique(of, return_index=True)  # sets are sorted
+    out[at] = (_mixed(found[first]) >> np.uint64(24)).astype(np.uint16)
+    return out
+
+
+def _lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(sh, cls, n, pos) of every shingle that stands in two prefixes at least, and pairs (a, b) with how many lists have
+    them: of each list the stars of the sets that show the same sign.
 
     A task packs its postings by the bucket of their shingle; sets that it has met before add none.  A bucket's task
     sorts them and drops the shingles of one set.
     """
     spark = docs.sparkSession
-    shared, buckets = spark.sparkContext.broadcast(sketch), 4 * shuffle_partitions(spark)
+    shared, buckets = spark.sparkContext.broadcast(sketch), 2 * shuffle_partitions(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen, waiting, held = shared.value, set(), [], 0
@@ -141,16 +167,17 @@ def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 return
             sizes = [len(s) for s, *_ in waiting]
             sh = np.concatenate([s for s, *_ in waiting])
-            cls = np.repeat(np.array([c for _, c, _ in waiting], dtype=np.int64), sizes)
-            n = np.repeat(np.array([k for *_, k in waiting], dtype=np.int32), sizes)
+            of = np.repeat(np.arange(len(waiting), dtype=np.int32), sizes)
             pos = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-            to = (sh >> np.uint64(20)) % np.uint64(buckets)
-            by = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[by], np.arange(buckets + 1, dtype=np.uint64))
+            cls, n = np.array([c for _, c, *_ in waiting], dtype=np.int64), np.array([k for _, _, k, _ in waiting], dtype=np.int32)
+            sign = np.stack([x for *_, x in waiting])[of, (sh % np.uint64(SIGNS)).astype(np.int64)]
+            to = _bucket(sh, buckets)
+            by = np.lexsort((sh, to))
+            ends = np.searchsorted(to[by], np.arange(buckets + 1))
             for k in range(buckets):
                 if (mine := by[ends[k] : ends[k + 1]]).size:
-                    data = b"".join(x[mine].tobytes() for x in (sh, cls, n, pos))
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(mine)], pa.int32()), pa.array([zstandard.compress(data, 1)], pa.binary())], names=["bucket", "size", "data"])
+                    data = _packed(sh[mine], of[mine], pos[mine], sign[mine], cls, n)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
             waiting.clear()
 
         for batch in batches:
@@ -160,7 +187,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     continue
                 seen.add(name)
                 rare = np.lexsort((found, order[_counter(found)]))[: prefix_size(len(found))]
-                waiting.append((found[rare], name, len(found)))
+                waiting.append((found[rare], name, len(found), _signs(found)))
                 held += len(rare)
             if held > 1 << 21:
                 yield from flush()
@@ -168,39 +195,85 @@ def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for k, size, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                packs.setdefault(k, []).append((size, data))
-        while packs:
-            _, mine = packs.popitem()
-            parts = []
-            for size, data in mine:
-                raw = zstandard.decompress(data)
-                parts.append((np.frombuffer(raw, np.uint64, size), np.frombuffer(raw, np.int64, size, 8 * size), np.frombuffer(raw, np.int32, size, 16 * size), np.frombuffer(raw, np.int32, size, 20 * size)))
-            sh, cls, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for mine in _by_bucket(batches):
+            sh, cls, n, pos, sign = (np.concatenate(x) for x in zip(*map(_unpacked, mine), strict=True))
             by = np.lexsort((cls, sh))
-            sh, cls, n, pos = sh[by], cls[by], n[by], pos[by]
+            sh, cls, n, pos, sign = sh[by], cls[by], n[by], pos[by], sign[by]
             again = np.zeros(len(sh), dtype=bool)  # what several tasks found of one set
             again[1:] = (sh[1:] == sh[:-1]) & (cls[1:] == cls[:-1])
-            sh, cls, n, pos = (x[~again] for x in (sh, cls, n, pos))
+            many = ~again
+            sh, cls, n, pos, sign = (x[many] for x in (sh, cls, n, pos, sign))
             same = sh[1:] == sh[:-1]
             many = np.zeros(len(sh), dtype=bool)
             many[1:] |= same
             many[:-1] |= same
-            for at in range(0, int(many.sum()), 100_000):
-                some = np.flatnonzero(many)[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(sh[some].view(np.int64)), pa.array(cls[some]), pa.array(n[some]), pa.array(pos[some])], names=["sh", "cls", "n", "pos"])
+            sh, cls, n, pos, sign = (x[many] for x in (sh, cls, n, pos, sign))
+            for at in range(0, len(sh), 100_000):
+                some, none = slice(at, at + 100_000), pa.nulls(min(100_000, len(sh) - at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(sh[some].view(np.int64)), pa.array(cls[some]), pa.array(n[some]), pa.array(pos[some]), none, none, none], names=names)
+            a, b, times = _starred(sh, sign, cls, n, pos)
+            if len(a):
+                none, none4 = pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())
+                yield pa.RecordBatch.from_arrays([none, none, none4, none4, pa.array(a), pa.array(b), pa.array(times)], names=names)
+
+    names = ["sh", "cls", "n", "pos", "a", "b", "times"]
+    packs = docs.mapInArrow(emit, "bucket int, data binary").repartition(shuffle_partitions(spark), "bucket")
+    return packs.mapInArrow(meet, "sh long, cls long, n int, pos int, a long, b long, times long")
+
+
+def _bucket(sh: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of shingles."""
+    return ((sh >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The packs of each bucket (the first column) of a task."""
+    packs: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            packs.setdefault(k, []).append(data)
+    while packs:
+        yield packs.popitem()[1]
+
 
-    packs = docs.mapInArrow(emit, "bucket int, size int, data binary").repartition(shuffle_partitions(spark), "bucket")
-    return packs.mapInArrow(meet, "sh long, cls long, n int, pos int")
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes of the numbers, then all second ones: what is often zero lies together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _packed(sh: np.ndarray, of: np.ndarray, pos: np.ndarray, sign: np.ndarray, cls: np.ndarray, n: np.ndarray) -> bytes:
+    """Postings sorted by shingle, as steps from one to the next; the sets (cls, n) that they are of stand once."""
+    here, place = np.unique(of, return_inverse=True)
+    step = np.diff(sh, prepend=np.uint64(0))
+    head = np.array([len(sh), len(here)], dtype="<i8").tobytes()
+    return zstandard.compress(head + b"".join([_planes(step), _planes(place.astype("<u4")), _planes(pos.astype("<u4")), sign.astype("<u2").tobytes(), cls[here].tobytes(), _planes(n[here].astype("<u4"))]), 3)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    raw, at = zstandard.decompress(data), 16
+    size, sets = np.frombuffer(raw, "<i8", 2).tolist()
+
+    def next_planes(count: int, kind: str) -> np.ndarray:
+        nonlocal at
+        width = np.dtype(kind).itemsize
+        out = np.ascontiguousarray(np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count).T).view(kind).ravel()
+        at += count * width
+        return out
+
+    sh, place, pos = np.cumsum(next_planes(size, "<u8"), dtype=np.uint64), next_planes(size, "<u4"), next_planes(size, "<u4")
+    sign = np.frombuffer(raw, "<u2", size, at)
+    cls = np.frombuffer(raw, "<i8", sets, at := at + 2 * size)
+    at += 8 * sets
+    n = next_planes(sets, "<u4").astype(np.int32)
+    return sh, cls[place], n[place], pos.astype(np.int32), sign
 
 
 def _near(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Which pairs of sets of sizes n and m, that share a shingle at places p and q of their prefixes, pass the length
-    filter and the positional one: what can be shared before, there and after is enough."""
+    filter and the positional one.  Two sets that link meet in the list of the first shingle that they share too, where
+    all others that they share stand after it in both; so that is asked for in every list."""
     n, p, m, q = (x.astype(np.int64) for x in (n, p, m, q))
-    room = 1 + np.minimum(p, q) + np.minimum(n - p - 1, m - q - 1)
+    room = 1 + np.minimum(n - p - 1, m - q - 1)
     return (UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)) & (room >= least_overlap(n, m))
 
 
@@ -210,16 +283,17 @@ def _prefixes(postings: DataFrame) -> DataFrame:
     return written(both.select("cls", "n", F.transform("x", lambda y: y["sh"]).alias("sh"), F.transform("x", lambda y: y["pos"]).alias("pos")), "prefixes")
 
 
-def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, whole: bool) -> DataFrame:
-    """(a, b) pairs of different components, and a row per bucket with its ``open`` pairs and ``rows``.
+def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) -> DataFrame:
+    """Pairs (a, b) of different components and how many lists have them, and a row per bucket with whether pairs are
+    ``left``.
 
     Sets take their components along (a join of sets, not of shingles), their shingles are packed by bucket, and each
-    bucket's task forms the lists.  In a list of one component there is nothing to do.  Else, with ``whole``, all pairs
-    of different components are made; without, those of one set with the others, the list being cut by sizes.
-    ``turn`` changes the cuts and which set it is.
+    bucket's task forms the lists.  In a list of one component there is nothing to do.  Of the others all pairs of
+    different components are made, if they are few beside the rows or this is the ``last`` turn; else those of one set of
+    a list and each range of sizes with the others, which ``turn`` chooses, and some are left.
     """
     spark = prefixes.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = 2 * shuffle_partitions(spark)
     labelled = prefixes.join(comps, prefixes["cls"] == comps["node"], "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "sh", "pos")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,25 +303,20 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, whole: bool) -
                 continue
             sh, pos = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4))
             cls, comp, n = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 1, 2))
-            to = (sh.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+            to = _bucket(sh.view(np.uint64), buckets)
             by = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[by], np.arange(buckets + 1, dtype=np.uint64))
+            ends = np.searchsorted(to[by], np.arange(buckets + 1))
             for k in range(buckets):
                 if (mine := by[ends[k] : ends[k + 1]]).size:
-                    data = b"".join(x[mine].tobytes() for x in (sh, cls, comp, n.astype(np.int32), pos.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(mine)], pa.int32()), pa.array([zstandard.compress(data, 1)], pa.binary())], names=["bucket", "size", "data"])
+                    data = np.array([len(mine)], "<i8").tobytes() + b"".join(x[mine].tobytes() for x in (sh, cls, comp, n.astype(np.int32), pos.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(data, 1)], pa.binary())], names=["bucket", "data"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for k, size, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                packs.setdefault(k, []).append((size, data))
-        while packs:
-            _, mine = packs.popitem()
+        for mine in _by_bucket(batches):
             parts = []
-            for size, data in mine:
-                raw = zstandard.decompress(data)
-                parts.append([np.frombuffer(raw, t, size, at * size) for t, at in ((np.int64, 0), (np.int64, 8), (np.int64, 16), (np.int32, 24), (np.int32, 28))])
+            for raw in map(zstandard.decompress, mine):
+                (size,) = np.frombuffer(raw, "<i8", 1).tolist()
+                parts.append([np.frombuffer(raw, t, size, 8 + at * size) for t, at in ((np.uint64, 0), (np.int64, 8), (np.int64, 16), (np.int32, 24), (np.int32, 28))])
             sh, cls, comp, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
             by = np.lexsort((comp, sh))
             sh, cls, comp, n, pos = (x[by] for x in (sh, cls, comp, n, pos))
@@ -255,29 +324,34 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, whole: bool) -
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             on = np.repeat(mixed, np.diff(np.r_[begin, len(sh)]))
             rows = [x[on] for x in (sh, comp, cls, n, pos)]
-            yield _pair_rows(None, None, *_open(rows))
-            for a, b in _crossed(rows) if whole else _starred(rows, turn):
-                yield _pair_rows(a, b, 0.0, 0)
+            if last or _open(rows) <= FEW * len(rows[0]):
+                for a, b in _crossed(rows):
+                    yield _pair_rows(a, b, np.ones(len(a), np.int64))
+            else:
+                sh, comp, cls, n, pos = rows
+                span = np.floor(np.log(n.astype(float)) * 3 + turn / 3).astype(np.int64)
+                with np.errstate(over="ignore"):
+                    rank = _mixed(cls.view(np.uint64) + np.uint64(turn) * _MIX)
+                yield _pair_rows(*_starred(sh, span, cls, n, pos, rank, comp))
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([1], pa.int32())], names=["a", "b", "times", "left"])
 
-    packs = labelled.mapInArrow(emit, "bucket int, size int, data binary").repartition(shuffle_partitions(spark), "bucket")
-    return packs.mapInArrow(meet, "a long, b long, open double, rows long")
+    packs = labelled.mapInArrow(emit, "bucket int, data binary").repartition(shuffle_partitions(spark), "bucket")
+    return packs.mapInArrow(meet, "a long, b long, times long, left int")
 
 
-def _pair_rows(a: np.ndarray | None, b: np.ndarray | None, open_pairs: float, rows: int) -> pa.RecordBatch:
-    n = 1 if a is None else len(a)
-    ends = [pa.nulls(1, pa.int64())] * 2 if a is None else [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
-    return pa.RecordBatch.from_arrays([*ends, pa.array(np.full(n, float(open_pairs))), pa.array(np.full(n, rows, dtype=np.int64))], names=["a", "b", "open", "rows"])
+def _pair_rows(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(times), pa.nulls(len(a), pa.int32())], names=["a", "b", "times", "left"])
 
 
-def _open(rows: list[np.ndarray]) -> tuple[float, int]:
-    """How many pairs of different components the lists have, and how many rows."""
+def _open(rows: list[np.ndarray]) -> float:
+    """How many pairs of different components the lists have."""
     sh, comp = rows[:2]
     if not len(sh):
-        return 0.0, 0
+        return 0.0
     begin = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]])
     runs = np.flatnonzero(np.r_[True, (sh[1:] != sh[:-1]) | (comp[1:] != comp[:-1])])
     squares = lambda starts: float((np.diff(np.r_[starts, len(sh)]).astype(float) ** 2).sum())
-    return (squares(begin) - squares(runs)) / 2, len(sh)
+    return (squares(begin) - squares(runs)) / 2
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,21 +359,17 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _starred(rows: list[np.ndarray], turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each list, and each range of sizes in it, the pairs of its first set with those of other components."""
-    sh, comp, cls, n, pos = rows
-    if not len(sh):
-        return
-    span = np.floor(np.log(n.astype(float)) * 3 + turn / 3).astype(np.int64)
-    with np.errstate(over="ignore"):
-        rank = n.astype(np.uint64) if not turn else _mixed(cls.view(np.uint64) + np.uint64(turn) * _MIX)
-    by = np.lexsort((cls, rank, span, sh))
-    sh, comp, cls, n, pos, span = (x[by] for x in (sh, comp, cls, n, pos, span))
-    first = np.flatnonzero(np.r_[True, (sh[1:] != sh[:-1]) | (span[1:] != span[:-1])])
+def _starred(sh: np.ndarray, group: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each list, and each group in it, the pairs of its first set (by ``rank``, then ``cls``) with the others, or
+    those of other components; and how often each pair was met."""
+    by = np.lexsort((cls, cls if rank is None else rank, group, sh))
+    sh, group, cls, n, pos = (x[by] for x in (sh, group, cls, n, pos))
+    first = np.flatnonzero(np.r_[True, (sh[1:] != sh[:-1]) | (group[1:] != group[:-1])]) if len(sh) else np.zeros(0, np.int64)
     lead = np.repeat(first, np.diff(np.r_[first, len(sh)]))
-    keep = (comp != comp[lead]) & _near(n, pos, n[lead], pos[lead])
-    if keep.any():
-        yield _distinct(cls[keep], cls[lead][keep])
+    apart = cls != cls[lead] if comp is None else comp[by] != comp[by][lead]
+    keep = apart & _near(n, pos, n[lead], pos[lead])
+    both, times = np.unique(np.stack([np.minimum(cls, cls[lead])[keep], np.maximum(cls, cls[lead])[keep]], axis=1), axis=0, return_counts=True)
+    return both[:, 0], both[:, 1], times.astype(np.int64)
 
 
 def _crossed(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -338,17 +408,11 @@ def _needed(ids: DataFrame) -> np.ndarray:
         for batch in batches:
             for h in _spots(batch.column(0).to_numpy(zero_copy_only=False)):
                 np.bitwise_or.at(bits, h >> 3, (1 << (h & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zstandard.compress(bits.tobytes(), 1)], pa.binary())], names=["slice", "task", "data"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                bits |= np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
-
-    filled = ids.mapInArrow(fill, "bits binary").repartition(1).mapInArrow(join, "bits binary")
-    return np.frombuffer(filled.first()[0], dtype=np.uint8)
+    filled = _merged(ids.mapInArrow(fill, "slice int, task int, data binary"), np.bitwise_or)
+    found = filled.first()
+    return np.frombuffer(zstandard.decompress(found["data"]), dtype=np.uint8) if found else np.zeros(FILTER_BITS // 8, dtype=np.uint8)
 
 
 def _spots(hashes: np.ndarray) -> list[np.ndarray]:
@@ -401,17 +465,29 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, kept: list[
         kept.append(written(_sets(docs, wanted), "sets"))
     sets = reduce(DataFrame.unionByName, kept)
 
+    # Pairs meet by their first set, which stands before its others; where it has many, in several tasks.
+    counted = left.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    dealt = left.select("a", "b").join(counted, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
+    firsts = counted.join(sets, counted["a"] == sets["cls"]).select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "set")
+    others = dealt.join(sets, dealt["b"] == sets["cls"]).select("a", "share", "b", "set")
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = None
         for batch in batches:
             on = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(UNDER * shared >= OVER * (len(x) + len(y) - shared))
-            yield batch.filter(pa.array(on, pa.bool_())).select([0, 1])
+            for b, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                y = np.frombuffer(data, np.uint64)
+                if b is None:
+                    x = y
+                    on.append(False)
+                else:
+                    k = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    shared = int((x[k] == y).sum())
+                    on.append(UNDER * shared >= OVER * (len(x) + len(y) - shared))
+            yield batch.filter(pa.array(on, pa.bool_())).select([0, 2])
 
-    loaded = left.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
-    return materialise(loaded.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    rows = firsts.unionByName(others).repartition(shuffle_partitions(docs.sparkSession), "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    return materialise(rows.mapInArrow(check, "a long, b long"))
 
 
 def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -561,28 +637,25 @@ def _components(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFra
     first = written(_members(own), "members")
     members = first.where("slice IS NULL").select("id", "h", "n", "cls", "parts")
     classes = materialise(members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")))
-    prefixes = _prefixes(_postings(own, _sketch(first.where("slice IS NOT NULL"))))
-
-    links = spark.createDataFrame([], "a long, b long")
-    tried, comps = links, spark.createDataFrame([], "node long, comp long")
-    last, whole, kept = None, False, []
-    for turn in range(TURNS + 1):
-        made = materialise(_candidates(prefixes, comps, turn, whole))
-        pairs = made.where("a IS NOT NULL").select("a", "b").distinct()
-        open_pairs, rows = made.agg(F.sum("open"), F.sum("rows")).first()
-        if not rows:
-            break
-        if turn and not whole and (open_pairs <= 4 * rows or turn > 3 and open_pairs > 0.9 * last or turn == TURNS - 1):
-            whole = True  # few enough: all of them instead of these stars
-            pairs = materialise(_candidates(prefixes, comps, turn, whole)).where("a IS NOT NULL").select("a", "b").distinct()
-        last = open_pairs
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"))
+    lists = written(_lists(own, _sketch(first.where("slice IS NOT NULL"))), "lists")
+    prefixes = _prefixes(lists.where("sh IS NOT NULL").select("sh", "cls", "n", "pos"))
+
+    # Of the pairs of stars a set's most frequent ones are enough to begin with: what else links is found below.
+    most = Window.partitionBy("b").orderBy(F.desc("times"), "a")
+    stars = lists.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("times").alias("times")).withColumn("k", F.row_number().over(most)).where("k <= 2")
+    pairs = materialise(stars.select("a", "b"))
+    links, tried, kept, left = spark.createDataFrame([], "a long, b long"), pairs, [], 1
+    comps = spark.createDataFrame([], "node long, comp long")
+    for turn in range(1, TURNS + 2):
         if not pairs.isEmpty():
-            found = _verified(own, classes, pairs, kept)
-            links, tried = materialise(links.unionByName(found)), materialise(tried.unionByName(pairs))
+            links = materialise(links.unionByName(_verified(own, classes, pairs, kept)))
             comps = components(links)
-        if whole:
+        if not left:
             break
+        made = materialise(_candidates(prefixes, comps, turn, turn == TURNS))
+        left = made.agg(F.sum("left")).first()[0]
+        pairs = materialise(made.where("a IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
     return members, classes, comps, kept
 
 
