@@ -100,11 +100,30 @@ def test_keeping_one_of_each_group(spark, messy):
 
 def test_all_pairs_of_lists_are_made():
     rng = np.random.default_rng(0)
-    sh, comp = np.sort(rng.integers(0, 30, 300)), rng.integers(0, 4, 300)
-    by = np.lexsort((comp, sh))
-    sh, comp, cls, n = sh[by], comp[by], np.arange(300), np.full(300, 10, np.int32)
-    made = {tuple(sorted((int(a), int(b)))) for xs, ys in jaccard._crossed([sh, comp, cls, n, n * 0]) for a, b in zip(xs, ys)}
-    assert made == {(i, j) for i in range(300) for j in range(i + 1, 300) if sh[i] == sh[j] and comp[i] != comp[j]}
+    sh, comp, n, cls = np.sort(rng.integers(0, 30, 900)), rng.integers(0, 4, 900), rng.integers(4, 30, 900), np.arange(900)
+    pos = rng.integers(0, 1 + n // 4)
+    by = np.lexsort((cls, n, sh))
+    rows = [x[by] for x in (sh, comp, cls, n, pos)]
+    made = {tuple(sorted((int(a), int(b)))) for xs, ys in jaccard._crossed(rows) for a, b in zip(xs, ys)}
+    near = lambda i, j: bool(jaccard._near(*(np.array([x]) for x in (n[i], pos[i], n[j], pos[j])))[0])
+    assert made == {(i, j) for i in range(900) for j in range(i + 1, 900) if sh[i] == sh[j] and comp[i] != comp[j] and near(i, j)}
+    assert made and sum(len(a) for a, _ in jaccard._whole(rows, False)) == sum(len(a) for a, _ in jaccard._crossed(rows))
+
+
+def test_more_turns_find_the_same(spark, monkeypatch):
+    rows = mutated(40, 7)
+    monkeypatch.setattr(jaccard, "TRIED", 0)
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str) == brute(rows)
+
+
+def test_packs_come_back():
+    rng = np.random.default_rng(2)
+    sh = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    of, pos, sign = rng.integers(0, 20, 500), rng.integers(0, 99, 500), rng.integers(0, 65_536, 500).astype(np.uint16)
+    cls, n = rng.integers(-(1 << 60), 1 << 60, 20), rng.integers(1, 1000, 20).astype(np.int32)
+    back = jaccard._unpacked(jaccard._packed(sh, of, pos, sign, cls, n))
+    assert [x.tolist() for x in back] == [sh.tolist(), cls[of].tolist(), n[of].tolist(), pos.tolist(), sign.tolist()]
 
 
 def test_empty(nothing):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from hashlib import blake2b
 
@@ -24,8 +24,9 @@ WORDS, OVER, UNDER = 5, 75, 100
 #: Counters of the sketch by which shingles are ordered, each kept as one byte (2 to the power of COUNTER_BITS), and bits of the filter of needed documents.
 COUNTER_BITS, FILTER_BITS = 24, 1 << 24
 COUNTERS = 1 << COUNTER_BITS
-#: Lists of a bucket are taken whole where that makes at most so many pairs for each row; else by stars, for so many turns.
-FEW, TURNS = 16, 5
+#: Lists of a bucket are taken whole where that makes at most so many pairs for each row, after trying so many; else by
+#: stars, in so many turns, of which the last takes all lists whole.
+FEW, TRIED, TURNS = 8, 4096, 5
 #: Least shingles of a set by which it is told into which star of a list it may belong.
 SIGNS = 8
 #: Pairs of one set that are verified in one task.
@@ -318,14 +319,15 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) ->
                 (size,) = np.frombuffer(raw, "<i8", 1).tolist()
                 parts.append([np.frombuffer(raw, t, size, 8 + at * size) for t, at in ((np.uint64, 0), (np.int64, 8), (np.int64, 16), (np.int32, 24), (np.int32, 28))])
             sh, cls, comp, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            by = np.lexsort((comp, sh))
+            by = np.lexsort((cls, n, sh))
             sh, cls, comp, n, pos = (x[by] for x in (sh, cls, comp, n, pos))
             begin = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]])
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             on = np.repeat(mixed, np.diff(np.r_[begin, len(sh)]))
             rows = [x[on] for x in (sh, comp, cls, n, pos)]
-            if last or _open(rows) <= FEW * len(rows[0]):
-                for a, b in _crossed(rows):
+            made = _whole(rows, last)
+            if made is not None:
+                for a, b in made:
                     yield _pair_rows(a, b, np.ones(len(a), np.int64))
             else:
                 sh, comp, cls, n, pos = rows
@@ -343,15 +345,19 @@ def _pair_rows(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(times), pa.nulls(len(a), pa.int32())], names=["a", "b", "times", "left"])
 
 
-def _open(rows: list[np.ndarray]) -> float:
-    """How many pairs of different components the lists have."""
-    sh, comp = rows[:2]
-    if not len(sh):
-        return 0.0
-    begin = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]])
-    runs = np.flatnonzero(np.r_[True, (sh[1:] != sh[:-1]) | (comp[1:] != comp[:-1])])
-    squares = lambda starts: float((np.diff(np.r_[starts, len(sh)]).astype(float) ** 2).sum())
-    return (squares(begin) - squares(runs)) / 2
+def _whole(rows: list[np.ndarray], anyhow: bool) -> Iterable[tuple[np.ndarray, np.ndarray]] | None:
+    """All pairs of the lists; or, if they are many beside the rows and needn't be made ``anyhow``, None."""
+    if anyhow:
+        return _crossed(rows)
+    made, count = [], 0
+    if _width(rows)[1].sum() > TRIED * len(rows[0]):
+        return None
+    for pair in _crossed(rows):
+        made.append(pair)
+        count += len(pair[0])
+        if count > FEW * len(rows[0]):
+            return None
+    return made
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,22 +378,28 @@ def _starred(sh: np.ndarray, group: np.ndarray, cls: np.ndarray, n: np.ndarray,
     return both[:, 0], both[:, 1], times.astype(np.int64)
 
 
+def _width(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows can be the smaller set of a pair, by their place, and how many rows after each are in its list and
+    not too large.  Rows are sorted by list and size."""
+    sh, _, _, n, pos = rows
+    size = n.astype(np.int64)
+    small = np.flatnonzero(size - pos >= least_overlap(size, size))
+    lists = np.cumsum(np.r_[0, sh[1:] != sh[:-1]]) if len(sh) else np.zeros(0, np.int64)
+    key = (lists << 32) + size
+    return small, np.searchsorted(key, (lists[small] << 32) + UNDER * size[small] // OVER, side="right") - small - 1
+
+
 def _crossed(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of one list and different components; rows are sorted by both."""
+    """All pairs of rows of one list and different components that pass the filters; rows are sorted by list and size."""
     sh, comp, cls, n, pos = rows
-    if not len(sh):
-        return
-    starts = np.flatnonzero(np.r_[True, (sh[1:] != sh[:-1]) | (comp[1:] != comp[:-1])])
-    begin = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]])
-    own, left = np.repeat(starts, np.diff(np.r_[starts, len(sh)])), np.repeat(begin, np.diff(np.r_[begin, len(sh)]))
-    width = own - left  # every row with those of its list that stand in an earlier component
+    small, width = _width(rows)
     for ends in _portions(width, 1 << 20):
-        some = np.arange(*ends)
-        y = np.repeat(some, width[some])
-        if not len(y):
+        own, wide = small[slice(*ends)], width[slice(*ends)]
+        x = np.repeat(own, wide)
+        if not len(x):
             continue
-        x = np.repeat(left[some] - np.r_[0, np.cumsum(width[some])[:-1]], width[some]) + np.arange(len(y))
-        keep = _near(n[x], pos[x], n[y], pos[y])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(wide) - wide, wide)
+        keep = (comp[x] != comp[y]) & _near(n[x], pos[x], n[y], pos[y])
         if keep.any():
             yield _distinct(cls[x[keep]], cls[y[keep]])
 
