@@ -104,10 +104,11 @@ def test_all_pairs_of_lists_are_made():
     pos = rng.integers(0, 1 + n // 4)
     by = np.lexsort((cls, n, sh))
     rows = [x[by] for x in (sh, comp, cls, n, pos)]
-    made = {tuple(sorted((int(a), int(b)))) for xs, ys in jaccard._crossed(rows) for a, b in zip(xs, ys)}
+    made = {tuple(sorted((int(rows[2][a]), int(rows[2][b])))) for xs, ys in jaccard._crossed(rows) for a, b in zip(xs, ys)}
     near = lambda i, j: bool(jaccard._near(*(np.array([x]) for x in (n[i], pos[i], n[j], pos[j])))[0])
-    assert made == {(i, j) for i in range(900) for j in range(i + 1, 900) if sh[i] == sh[j] and comp[i] != comp[j] and near(i, j)}
-    assert made and sum(len(a) for a, _ in jaccard._whole(rows, False)) == sum(len(a) for a, _ in jaccard._crossed(rows))
+    wanted = {(i, j) for i in range(900) for j in range(i + 1, 900) if sh[i] == sh[j] and comp[i] != comp[j] and near(i, j)}
+    assert made == wanted and made
+    assert set(zip(*(x.tolist() for x in jaccard._whole(rows, False)))) == wanted
 
 
 def test_more_turns_find_the_same(spark, monkeypatch):
@@ -117,6 +118,15 @@ def test_more_turns_find_the_same(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str) == brute(rows)
 
 
+def test_parts_never_say_less_than_is_shared():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 400, int(k)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in rng.integers(1, 300, 2))
+        assert jaccard._may_share(jaccard._parts(x), jaccard._parts(y)) >= len(np.intersect1d(x, y))
+    x = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    assert jaccard._may_share(jaccard._parts(x[:250]), jaccard._parts(x[250:])) < 200
+
+
 def test_packs_come_back():
     rng = np.random.default_rng(2)
     sh = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64))

@@ -31,8 +31,6 @@ FEW, TRIED, TURNS = 8, 4096, 5
 SIGNS = 8
 #: Pairs of one set that are verified in one task.
 SHARE = 4096
-#: Parts into which the suffix filter deals a set.
-PARTS = 16
 #: Slices of the sketch, and to which power of 2 packs of tasks are put together at once.
 SLICES, FAN_BITS = 16, 6
 #: Sets, and shingles of all of them, of a block in which links are counted at once.
@@ -76,6 +74,25 @@ def prefix_size(n: int) -> int:
     return n - -(-OVER * n // UNDER) + 1
 
 
+def _parts(found: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each of some parts of all shingles, a power of 2 of them, so many that a part
+    holds two to four; 255 stands for that and more."""
+    bits = max(0, len(found).bit_length() - 2)
+    return np.minimum(np.bincount((found >> np.uint64(8)).astype(np.int64) & ((1 << bits) - 1), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def _may_share(x: np.ndarray, y: np.ndarray) -> int:
+    """More than sets of these parts can share, or as much: in no part more than the smaller has.  The finer is folded."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    while len(x) > len(y):
+        x = x.reshape(2, -1).sum(0)
+    while len(y) > len(x):
+        y = y.reshape(2, -1).sum(0)
+    if max(x.max(), y.max()) >= 255:
+        return int(1 << 62)
+    return int(np.minimum(x, y).sum())
+
+
 def _binary(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("h"))
 
@@ -98,7 +115,7 @@ def _members(docs: DataFrame) -> DataFrame:
                 found = shingles(text)
                 ns.append(len(found))
                 classes.append(name := class_of(found) if len(found) else None)
-                parts.append(np.bincount((found >> np.uint64(8)).astype(np.int64) & (PARTS - 1), minlength=PARTS).astype("<i4").tobytes() if len(found) else None)
+                parts.append(_parts(found).tobytes() if len(found) else None)
                 if name is not None and name not in seen:
                     seen.add(name)
                     fresh.append(found)
@@ -285,8 +302,8 @@ def _prefixes(postings: DataFrame) -> DataFrame:
 
 
 def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) -> DataFrame:
-    """Pairs (a, b) of different components and how many lists have them, and a row per bucket with whether pairs are
-    ``left``.
+    """Pairs (a, b) of different components and how many stars of lists have them (0: of lists taken whole), and a row per
+    bucket with whether pairs are ``left``.
 
     Sets take their components along (a join of sets, not of shingles), their shingles are packed by bucket, and each
     bucket's task forms the lists.  In a list of one component there is nothing to do.  Of the others all pairs of
@@ -325,44 +342,72 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) ->
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             on = np.repeat(mixed, np.diff(np.r_[begin, len(sh)]))
             rows = [x[on] for x in (sh, comp, cls, n, pos)]
-            made = _whole(rows, last)
-            if made is not None:
-                for a, b in made:
-                    yield _pair_rows(a, b, np.ones(len(a), np.int64))
-            else:
+            pairs, times = _whole(rows, last), 0
+            if pairs is None:
                 sh, comp, cls, n, pos = rows
                 span = np.floor(np.log(n.astype(float)) * 3 + turn / 3).astype(np.int64)
                 with np.errstate(over="ignore"):
                     rank = _mixed(cls.view(np.uint64) + np.uint64(turn) * _MIX)
-                yield _pair_rows(*_starred(sh, span, cls, n, pos, rank, comp))
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([1], pa.int32())], names=["a", "b", "times", "left"])
+                *pairs, times = _starred(sh, span, cls, n, pos, rank, comp)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([1], pa.int32())], names=["to", "data", "left"])
+            a, b = pairs
+            if not len(a):
+                continue
+            with np.errstate(over="ignore"):
+                to = (_mixed(a.view(np.uint64) * _MIX + b.view(np.uint64)) % np.uint64(parts_of)).astype(np.int64)
+            by = np.argsort(to, kind="stable")
+            all3 = np.stack([a, b, np.broadcast_to(times, len(a))], axis=1)[by]
+            ends = np.searchsorted(to[by], np.arange(parts_of + 1))
+            some = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zstandard.compress(all3[ends[k] : ends[k + 1]].tobytes(), 1) for k in some.tolist()], pa.binary()), pa.nulls(len(some), pa.int32())], names=["to", "data", "left"])
 
-    packs = labelled.mapInArrow(emit, "bucket int, data binary").repartition(shuffle_partitions(spark), "bucket")
-    return packs.mapInArrow(meet, "a long, b long, times long, left int")
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        for batch in batches:
+            for data, left in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if data is None:
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([left], pa.int32())], names=["a", "b", "times", "left"])
+                else:
+                    kept.append(np.frombuffer(zstandard.decompress(data), dtype=np.int64).reshape(-1, 3))
+                    if sum(map(len, kept[1:])) > 1 << 20:
+                        kept = [_summed_pairs(kept)]
+        if kept:
+            yield _pair_rows(*_summed_pairs(kept).T)
 
+    parts_of = shuffle_partitions(spark)
+    packs = labelled.mapInArrow(emit, "bucket int, data binary").repartition(parts_of, "bucket").mapInArrow(meet, "to int, data binary, left int")
+    return packs.repartition(parts_of, "to").mapInArrow(once, "a long, b long, times long, left int")
 
-def _pair_rows(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(times), pa.nulls(len(a), pa.int32())], names=["a", "b", "times", "left"])
 
+def _summed_pairs(rows: list[np.ndarray]) -> np.ndarray:
+    """(a, b, times) with each pair once."""
+    x = np.concatenate(rows)
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    first = np.flatnonzero(np.r_[True, (x[1:, :2] != x[:-1, :2]).any(1)])
+    return np.column_stack([x[first, :2], np.add.reduceat(x[:, 2], first)])
 
-def _whole(rows: list[np.ndarray], anyhow: bool) -> Iterable[tuple[np.ndarray, np.ndarray]] | None:
-    """All pairs of the lists; or, if they are many beside the rows and needn't be made ``anyhow``, None."""
-    if anyhow:
-        return _crossed(rows)
-    made, count = [], 0
-    if _width(rows)[1].sum() > TRIED * len(rows[0]):
-        return None
-    for pair in _crossed(rows):
-        made.append(pair)
-        count += len(pair[0])
-        if count > FEW * len(rows[0]):
-            return None
-    return made
+
+def _pair_rows(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(times), pa.nulls(len(a), pa.int32())], names=["a", "b", "times", "left"])
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+def _whole(rows: list[np.ndarray], anyhow: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of the lists, each once; or, if they are many beside the rows and needn't be made ``anyhow``, None."""
+    if not anyhow and _width(rows)[1].sum() > TRIED * len(rows[0]):
+        return None
+    made, fresh = np.zeros(0, np.int64), []
+    sets, place = np.unique(rows[2], return_inverse=True)
+    for x, y in _crossed(rows):
+        x, y = place[x], place[y]
+        fresh.append(np.unique(np.minimum(x, y) * len(sets) + np.maximum(x, y)))
+        if sum(map(len, fresh)) > 1 << 21:
+            made, fresh = np.unique(np.concatenate([made, *fresh])), []
+            if not anyhow and len(made) > FEW * len(rows[0]):
+                return None
+    made = np.unique(np.concatenate([made, *fresh]))
+    if not anyhow and len(made) > FEW * len(rows[0]):
+        return None
+    return (sets[made // len(sets)], sets[made % len(sets)]) if len(sets) else (rows[2], rows[2])
 
 
 def _starred(sh: np.ndarray, group: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -374,7 +419,7 @@ def _starred(sh: np.ndarray, group: np.ndarray, cls: np.ndarray, n: np.ndarray,
     lead = np.repeat(first, np.diff(np.r_[first, len(sh)]))
     apart = cls != cls[lead] if comp is None else comp[by] != comp[by][lead]
     keep = apart & _near(n, pos, n[lead], pos[lead])
-    both, times = np.unique(np.stack([np.minimum(cls, cls[lead])[keep], np.maximum(cls, cls[lead])[keep]], axis=1), axis=0, return_counts=True)
+    both, times = np.unique(np.stack([cls[lead][keep], cls[keep]], axis=1), axis=0, return_counts=True)
     return both[:, 0], both[:, 1], times.astype(np.int64)
 
 
@@ -390,8 +435,9 @@ def _width(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _crossed(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of one list and different components that pass the filters; rows are sorted by list and size."""
-    sh, comp, cls, n, pos = rows
+    """Places of all pairs of rows of one list and different components that pass the filters; rows are sorted by list and
+    size."""
+    _, comp, _, n, pos = rows
     small, width = _width(rows)
     for ends in _portions(width, 1 << 20):
         own, wide = small[slice(*ends)], width[slice(*ends)]
@@ -401,7 +447,7 @@ def _crossed(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(wide) - wide, wide)
         keep = (comp[x] != comp[y]) & _near(n[x], pos[x], n[y], pos[y])
         if keep.any():
-            yield _distinct(cls[x[keep]], cls[y[keep]])
+            yield x[keep], y[keep]
 
 
 def _portions(width: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -464,9 +510,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, kept: list[
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<i4").reshape(-1, PARTS) for k in (4, 5))
             n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            yield batch.filter(pa.array(np.minimum(x, y).sum(1) >= least_overlap(n, m))).select([0, 1, 6, 7])
+            most = [_may_share(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(np.array(most) >= least_overlap(n, m))).select([0, 1, 6, 7])
 
     left = materialise(both.select("a", "b", "n", "m", "x", "y", "ra", "rb").mapInArrow(suffix, f"a long, b long, ra {kind}, rb {kind}"))
     wanted = left.select(F.col("ra").alias("id"), F.col("a").alias("cls")).unionByName(left.select(F.col("rb").alias("id"), F.col("b").alias("cls"))).distinct()
@@ -652,25 +698,41 @@ def _components(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFra
     lists = written(_lists(own, _sketch(first.where("slice IS NOT NULL"))), "lists")
     prefixes = _prefixes(lists.where("sh IS NOT NULL").select("sh", "cls", "n", "pos"))
 
-    # Of the pairs of stars a set's most frequent ones are enough to begin with: what else links is found below.
-    most = Window.partitionBy("b").orderBy(F.desc("times"), "a")
-    stars = lists.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("times").alias("times")).withColumn("k", F.row_number().over(most)).where("k <= 2")
-    pairs = materialise(stars.select("a", "b"))
-    links, tried, kept, left = spark.createDataFrame([], "a long, b long"), pairs, [], 1
+    pairs = materialise(_wanted(lists.where("a IS NOT NULL")))
+    tried, kept, left = pairs, [], 1
     comps = spark.createDataFrame([], "node long, comp long")
     for turn in range(1, TURNS + 2):
         if not pairs.isEmpty():
-            links = materialise(links.unionByName(_verified(own, classes, pairs, kept)))
-            comps = components(links)
+            comps = _joined(comps, _verified(own, classes, pairs, kept))
         if not left:
             break
-        made = materialise(_candidates(prefixes, comps, turn, turn == TURNS))
+        made = written(_candidates(prefixes, comps, turn, turn == TURNS), "candidates")
         left = made.agg(F.sum("left")).first()[0]
-        pairs = materialise(made.where("a IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        pairs = materialise(_wanted(made.where("a IS NOT NULL")).join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
     return members, classes, comps, kept
 
 
+def _wanted(made: DataFrame) -> DataFrame:
+    """(a, b) of pairs (a, b, times): of those of stars, each set's two most frequent, which is enough to go on with, as
+    lists whose sets aren't of one component then are seen again; of the others all."""
+    most = Window.partitionBy("b").orderBy(F.desc("times"), "a")
+    stars = made.where("times > 0").groupBy("a", "b").agg(F.sum("times").alias("times")).withColumn("k", F.row_number().over(most)).where("k <= 2")
+    both = stars.select("a", "b").unionByName(made.where("times = 0").select("a", "b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) with the new links (a, b): components are found of what the old ones and new sets make, so that many
+    links between two components are one."""
+    one, other = (comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b"))
+    ends = links.join(one, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    found = components(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    up = found.select(F.col("node").alias("was"), F.col("comp").alias("now"))
+    moved = comps.join(up, comps["comp"] == up["was"], "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    return materialise(moved.unionByName(found.join(comps.select("node"), "node", "left_anti")))
+
+
 def _result(members: DataFrame, classes: DataFrame, comps: DataFrame, counts: DataFrame | None, id: str) -> DataFrame:
     ends = counts if counts is not None else classes.select("cls", F.lit(0).cast("long").alias("n_links")).limit(0)
     named = classes.join(comps, classes["cls"] == comps["node"], "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
