@@ -64,6 +64,43 @@ def test_rising_sequences_come_back():
         assert EliasFano.of(x).values().tolist() == x.tolist()
 
 
+def test_numbers_are_found_in_the_packed_bits():
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 1), (1, 1 << 62), (700, 60), (5000, 1 << 63), (3000, 1 << 20), (4000, 4500)):
+        x = np.unique(rng.integers(0, top, n).astype(np.uint64))
+        for rising in (EliasFano.of(x), EliasFano.of(np.concatenate([x[: len(x) // 2], x[-1:] + np.uint64(1 << 40)]))):
+            values = rising.values()
+            asked = np.unique(np.concatenate([values, values + np.uint64(1), rng.integers(0, min(top + 9, (1 << 63) - 1), 500).astype(np.uint64)]))
+            rng.shuffle(asked)
+            places = {int(v): k for k, v in enumerate(values.tolist())}
+            assert rising.find(asked).tolist() == [places.get(v, -1) for v in asked.tolist()]
+            at = rng.integers(0, rising.n, 300)
+            assert rising.get(at).tolist() == values[at].tolist()
+            low = np.maximum(at - 2, 0)
+            assert rising.find(values[at], low, at).tolist() == [-1] * 300 and rising.find(values[at], low, at + 1).tolist() == at.tolist()
+
+
+def test_an_opened_trie_holds_views_of_the_map_only(tmp_path):
+    word, context = np.arange(200, dtype=np.uint64) // np.uint64(3), np.arange(200, dtype=np.uint64) * np.uint64(7)
+    built = Trie.build(word, context, np.ones(200, np.int64), lambda w, s: s, lambda c, of: np.log10(c / of), lambda c: np.log10(c / 200))
+    path = tmp_path / "x.trie"
+    path.write_bytes(built.tobytes())
+    trie = Trie.open(str(path))
+    for x in (trie.counts, trie.value, trie.as_context, *(y for r in (trie.words, trie.pointers, trie.level, trie.contexts) for y in (r.low, r.high))):
+        assert not x.flags.owndata and not x.flags.writeable
+    assert trie.pairs(trie.find(word), context).tolist() == list(range(200))
+    assert trie.pairs(trie.find(word), context[::-1].copy()).tolist() == [k if k == 199 - k or word[k] == word[199 - k] and context[k] == context[199 - k] else -1 if word[k] != word[199 - k] else 199 - k for k in range(200)]
+
+
+def test_answers_come_back():
+    rng = np.random.default_rng(4)
+    times = rng.integers(1, 9, 40)
+    n = int(times.sum())
+    counts, doc, value = rng.integers(0, 1 << 40, 40), rng.integers(0, 3000, n), rng.integers(0, 65_536, n)
+    back = scoring._answered(scoring._answer(times, counts, doc, value))
+    assert back[0].tolist() == np.repeat(counts, times).tolist() and back[1].tolist() == doc.tolist() and back[2].tolist() == restored(value).tolist()
+
+
 def test_a_mapped_trie_answers_as_it_was_built(tmp_path):
     rng = np.random.default_rng(5)
     pairs = np.unique(rng.integers(0, 1 << 60, (500, 2)).astype(np.uint64) % np.uint64(97), axis=0)

@@ -10,12 +10,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
 
 from .common import materialise, shuffle_partitions, small_batches, table
-from .trie import Trie, restored
+from .trie import Trie, quantised, restored
 
 #: Stands for the end of a text, and before its first word.  No word is empty or holds a space.
 END, START = xxh3_64_intdigest(b""), xxh3_64_intdigest(b" ")
@@ -23,8 +25,6 @@ END, START = xxh3_64_intdigest(b""), xxh3_64_intdigest(b" ")
 WEIGHT = 50.0
 #: A word with more than this share of all tokens is hot; so there are at most as many hot words.
 HOT = 1 / 16_384
-#: Words of a text are kept by 64 bits of their hash, contexts by 40.
-CONTEXT_BITS = 40
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -56,7 +56,8 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
-    """Every token with the word before it, packed by shard: (shard, uids, ids, learn, data).
+    """Every token with the word before it, packed by shard and chunk of texts, and a row for each chunk with its texts'
+    ``uids`` and ``ids``: (shard, chunk, uids, ids, data).
 
     A word's tokens go to one shard; a hot word's are dealt by the word before, so that no shard gets many more.
     """
@@ -79,18 +80,19 @@ def _dealt(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
             by = np.lexsort((word, to))
             word, before, doc, to = word[by], before[by], doc[by], to[by]
             ends = np.searchsorted(to, np.arange(shards + 1, dtype=np.uint64))
-            for k in range(shards):
-                a, b = int(ends[k]), int(ends[k + 1])
-                if a == b:
-                    continue
-                docs_here, place = np.unique(doc[a:b], return_inverse=True)
-                names = [waiting[i] for i in docs_here.tolist()]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([k], pa.int32()), pa.array([[u for u, *_ in names]], pa.list_(pa.int64())), pa.array([[i for _, i, _, _ in names]], pa.list_(id_type)), pa.array([[x for *_, x, _ in names]], pa.list_(pa.bool_())),
-                    pa.array([_packed(word[a:b], before[a:b], place, common)], pa.binary()),
-                ], names=["shard", "uids", "ids", "learn", "data"])
+            chunk, learned = (task << 32) + len(made), np.packbits(np.array([x for *_, x, _ in waiting], dtype=bool)).tobytes()
+            made.append(chunk)
+            some = np.flatnonzero(np.diff(ends))
+            packs = [_with_learned(learned, _packed(word[ends[k] : ends[k + 1]], before[ends[k] : ends[k + 1]], doc[ends[k] : ends[k + 1]], common)) for k in some.tolist()]
+            for k, pack in zip(some.tolist(), packs, strict=True):
+                yield row(k, chunk, None, None, pack)
+            yield row(chunk % shards, chunk, [u for u, *_ in waiting], [i for _, i, _, _ in waiting], None)
             waiting.clear()
 
+        def row(shard: int, chunk: int, uids: list | None, ids: list | None, data: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([chunk], pa.int64()), pa.array([uids], pa.list_(pa.int64())), pa.array([ids], pa.list_(id_type)), pa.array([data], pa.binary())], names=["shard", "chunk", "uids", "ids", "data"])
+
+        made, task = [], TaskContext.get().partitionId()
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("id").type
@@ -107,7 +109,34 @@ def _dealt(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
         if waiting:
             yield from flush()
 
-    return docs.select("uid", "id", "learn", "t").mapInArrow(run, f"shard int, uids array<long>, ids array<{kind}>, learn array<boolean>, data binary")
+    return docs.select("uid", "id", "learn", "t").mapInArrow(run, f"shard int, chunk long, uids array<long>, ids array<{kind}>, data binary")
+
+
+def _with_learned(learned: bytes, tokens: bytes) -> bytes:
+    """Bits of which of the chunk's texts are learned from, and the tokens."""
+    return np.array([len(learned)], "<i8").tobytes() + learned + tokens
+
+
+def _answer(times: np.ndarray, counts: np.ndarray, doc: np.ndarray, value: np.ndarray) -> bytes:
+    """What a shard says of the tokens of a pack: of each word how often it stands there and its count, of each token
+    its text and its value, quantised.  A few bytes for a token, however many shards there are."""
+    head = np.array([len(times), len(doc)], "<i8").tobytes()
+    return zstandard.compress(head + b"".join(_planes(x) for x in (times.astype("<u4"), counts.astype("<u8"), doc.astype("<u4"), value.astype("<u2"))), 3)
+
+
+def _answered(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count of its word, text, value) of each token."""
+    raw, at, out = zstandard.decompress(data), 16, []
+    words, n = np.frombuffer(raw, "<i8", 2).tolist()
+    for size, kind in ((words, "<u4"), (words, "<u8"), (n, "<u4"), (n, "<u2")):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T).view(kind).ravel())
+        at += size * width
+    return np.repeat(out[1], out[0]).astype(np.int64), out[2].astype(np.int64), restored(out[3])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
 def _hot(common: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,14 +152,14 @@ def _packed(word: np.ndarray, before: np.ndarray, doc: np.ndarray, common: np.nd
     times = np.diff(np.r_[first, len(word)])
     is_hot, k = _hot(common, before)
     known = np.where(is_hot, k, 65_535).astype("<u2")
-    other = (before[~is_hot] >> np.uint64(64 - CONTEXT_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8]
-    parts = [word[first].astype("<u8").tobytes(), times.astype("<i4").tobytes(), doc.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), known.view(np.uint8).reshape(-1, 2).T.tobytes(), np.ascontiguousarray(other).tobytes()]
+    other = before[~is_hot].astype("<u8")
+    parts = [word[first].astype("<u8").tobytes(), times.astype("<i4").tobytes(), doc.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), known.view(np.uint8).reshape(-1, 2).T.tobytes(), other.tobytes()]
     head = np.array([len(first), len(word), len(other)], dtype="<i8").tobytes()
     return zstandard.compress(head + b"".join(parts), 1)
 
 
 def _unpacked(data: bytes, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, the 40 bits of the word before, text) of each token."""
+    """(word, the word before, text) of each token."""
     raw = zstandard.decompress(data)
     words, n, others = np.frombuffer(raw, "<i8", 3).tolist()
     at = 24
@@ -142,13 +171,11 @@ def _unpacked(data: bytes, common: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at += 4 * n
     known = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 2 * n, at).reshape(2, n).T).view("<u2").ravel()
     at += 2 * n
-    wide = np.zeros((others, 8), dtype=np.uint8)
-    wide[:, : CONTEXT_BITS // 8] = np.frombuffer(raw, np.uint8, others * (CONTEXT_BITS // 8), at).reshape(others, CONTEXT_BITS // 8)
     before = np.empty(n, dtype=np.uint64)
     is_other = known == 65_535
-    before[is_other] = wide.view("<u8").ravel()
+    before[is_other] = np.frombuffer(raw, "<u8", others, at)
     if len(common):
-        before[~is_other] = common[known[~is_other]] >> np.uint64(64 - CONTEXT_BITS)
+        before[~is_other] = common[known[~is_other]]
     return np.repeat(first, times), before, doc
 
 
@@ -174,15 +201,13 @@ def score(docs: DataFrame, learn: Column, *, weight: float = WEIGHT, id: str = "
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id).alias("id"), F.coalesce(learn, F.lit(True)).alias("learn"), F.col(text).cast("binary").alias("t"))
     unigrams = materialise(_counts(own))
     total, kinds = unigrams.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    ends = unigrams.where(F.col("word") == int(np.uint64(END).view(np.int64))).first()
-    texts = ends["count"] if ends else 0
     hot_rows = unigrams.where(F.col("count") > total * HOT).collect()  # at most 1 / HOT rows
     hot = np.array(sorted((int(np.int64(r["word"]).view(np.uint64)), r["count"]) for r in hot_rows), dtype=np.uint64).reshape(-1, 2)
     common, hot_counts = hot[:, 0].copy(), hot[:, 1].astype(np.int64)
     shared = spark.sparkContext.broadcast((common, hot_counts))
     shards = max(12, shuffle_partitions(spark))
     whole = np.log10(total + 0.5 * (kinds + 1))
-    kind = own.schema["id"].dataType.simpleString()
+    kind, id_type = own.schema["id"].dataType.simpleString(), to_arrow_type(own.schema["id"].dataType)
 
     def whole_counts(words: np.ndarray, sums: np.ndarray) -> np.ndarray:
         is_hot, k = _hot(shared.value[0], words)
@@ -194,42 +219,64 @@ def score(docs: DataFrame, learn: Column, *, weight: float = WEIGHT, id: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: dict[int, list] = {}
         for batch in batches:
-            for row in range(batch.num_rows):
-                mine.setdefault(batch.column(0)[row].as_py(), []).append(batch.slice(row, 1))
+            for k in range(batch.num_rows):
+                if batch.column(4)[k].is_valid:
+                    mine.setdefault(batch.column(0)[k].as_py(), []).append((batch.column(1)[k].as_py(), batch.column(4)[k].as_py()))
+                else:
+                    yield batch.slice(k, 1).select([1, 2, 3, 4])
         common = shared.value[0]
         while mine:
-            shard, packs = mine.popitem()
-            word, before, text, learned, uids, ids, start = [], [], [], [], [], [], 0
-            for pack in packs:
-                w, v, d = _unpacked(pack.column(4)[0].as_py(), common)
-                flags = np.array(pack.column(3)[0].as_py(), dtype=bool)
-                word.append(w)
-                before.append(v)
-                text.append(d + start)
-                learned.append(flags[d])
-                uids.append(pack.column(1)[0].values)
-                ids.append(pack.column(2)[0].values)
-                start += len(flags)
-            packs.clear()
-            word, before, text, learned = (np.concatenate(x) for x in (word, before, text, learned))
-            trie = _trie(word[learned], before[learned], whole_counts, lambda c, of: np.log10((c + weight * small(of)) / (of + weight)), lambda c: np.log10((c + weight) / (total + weight)))
-            at = trie.find(word)
-            counts = np.where(at >= 0, trie.counts[at] if len(trie.counts) else 0, whole_counts(word, np.zeros(len(word), np.int64)))
-            pair = trie.pairs(at, before)
-            gain = np.where(pair >= 0, np.log10(counts + weight) + (restored(trie.value[pair]) if len(trie.value) else 0.0), np.log10(weight * small(counts)))
-            loss = np.where(at >= 0, np.log10(total + weight) + (restored(trie.as_context[at]) if len(trie.as_context) else 0.0), np.log10(counts + weight))
-            loss[word == np.uint64(END)] = np.log10(texts + weight)  # what the start of the text costs
-            del word, before, pair, at
-            sums = [np.bincount(text, weights=x, minlength=start) for x in (np.log10(counts + 0.5), gain - loss, counts > 0)]
-            n = np.bincount(text, minlength=start)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(uids), pa.concat_arrays(ids), pa.array(n, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["uid", "id", "n", "known", "base", "score"])
-
-    parts = _dealt(own, common, shards).repartition(shards, "shard").mapInArrow(run, f"uid long, id {kind}, n long, known long, base double, score double")
+            _, packs = mine.popitem()
+            word, before = [], []  # of the tokens to learn from
+            for _, pack in packs:
+                w, v, d, learned = _opened(pack, common)
+                word.append(w[learned[d]])
+                before.append(v[learned[d]])
+            trie = _trie(np.concatenate(word), np.concatenate(before), whole_counts, lambda c, of: np.log10((c + weight * small(of)) / (of + weight)), lambda c: np.log10((c + weight) / (total + weight)))
+            del word, before
+            for chunk, pack in packs:
+                w, v, d, _ = _opened(pack, common)
+                first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                times = np.diff(np.r_[first, len(w)])
+                at = trie.find(w[first])
+                counts = np.where(at >= 0, trie.counts[at] if len(trie.counts) else 0, whole_counts(w[first], np.zeros(len(first), np.int64)))
+                pair = trie.pairs(np.repeat(at, times), v)
+                unseen = np.log10(weight * small(counts) / (counts + weight))
+                value = np.where(pair >= 0, trie.value[pair] if len(trie.value) else 0, np.repeat(quantised(unseen), times))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(id_type)), pa.array([_answer(times, counts, d, value)], pa.binary())], names=["chunk", "uids", "ids", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each text of the chunks."""
+        now, sums, ids = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if ids is not None:
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x) for x in (sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3])]], names=["id", "n", "known", "base", "score"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch.column(0)[k].as_py() != now:
+                    yield from done()
+                    now, ids = batch.column(0)[k].as_py(), batch.column(2)[k].values
+                    sums = np.zeros((4, len(ids)))
+                else:
+                    count, doc, value = _answered(batch.column(3)[k].as_py())
+                    for row, x in zip(sums, (np.ones(len(doc)), count > 0, np.log10(count + 0.5), value), strict=True):
+                        row += np.bincount(doc, weights=x, minlength=len(row))
+        yield from done()
+
+    told = _dealt(own, common, shards).repartition(shards, "shard").mapInArrow(run, f"chunk long, uids array<long>, ids array<{kind}>, data binary")
+    parts = told.repartition(shards, "chunk").sortWithinPartitions("chunk", F.col("data").isNotNull()).mapInArrow(add, f"id {kind}, n long, known long, base double, score double")
     whole_base = float(whole)
-    return (
-        parts.groupBy("uid").agg(F.first("id").alias("id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-        .select(F.col("id").alias(id), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(whole_base)).alias("base_score"), "score")
-    )
+    return parts.select(
+        F.col("id").alias(id), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n") * F.lit(whole_base)).alias("base_score"), "score",
+    )
+
+
+def _opened(pack: bytes, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, the word before, text) of each token, and which texts are learned from."""
+    size = int(np.frombuffer(pack, "<i8", 1)[0])
+    return *_unpacked(pack[8 + size :], common), np.unpackbits(np.frombuffer(pack, np.uint8, size, 8)).astype(bool)
 
 
 def _trie(word: np.ndarray, before: np.ndarray, word_count, pair_value, context_value) -> Trie:

@@ -20,6 +20,11 @@ def restored(x: np.ndarray) -> np.ndarray:
     return x.astype(np.float64) * STEP + FLOOR
 
 
+#: Of each byte: how many ones it has, and where its zeros stand.
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
+_ZERO = np.array([([k for k in range(8) if not b >> k & 1] + [0] * 8)[:8] for b in range(256)])
+
+
 @dataclass
 class EliasFano:
     """A rising sequence of 64-bit numbers: the lower ``low_bits`` of each lie packed, the upper ones in unary."""
@@ -28,6 +33,8 @@ class EliasFano:
     low_bits: int
     low: np.ndarray
     high: np.ndarray
+    last: int = 0
+    zeros: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -39,7 +46,7 @@ class EliasFano:
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 2, dtype=np.uint8)
         bits[ones] = 1
-        return cls(n, low_bits, _bits(values, low_bits), np.packbits(bits, bitorder="little"))
+        return cls(n, low_bits, _bits(values, low_bits), np.packbits(bits, bitorder="little"), int(values[-1]))
 
     def values(self) -> np.ndarray:
         """All of them, by one pass over the bits."""
@@ -48,8 +55,73 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | _unbits(self.low, self.low_bits, self.n)
 
+    def _before(self, upper: np.ndarray) -> np.ndarray:
+        """How many numbers have upper bits less than these: the ones before the zero that ends what stands before."""
+        if self.zeros is None:  # of every 64 bytes, how many zeros stand before it: an eighth of the upper bits
+            padded = np.zeros(-(-len(self.high) // 64) * 64, dtype=np.uint8)
+            padded[: len(self.high)] = _ONES[self.high]
+            self.zeros = np.r_[0, np.cumsum(512 - padded.reshape(-1, 64).sum(1, dtype=np.int64))]
+        left = upper - 1
+        block = np.searchsorted(self.zeros, left, side="right") - 1
+        left, at = left - self.zeros[np.maximum(block, 0)], block * 64
+        going = np.flatnonzero(upper > 0)
+        while len(going):  # by bytes, those that are through drop out
+            here = 8 - _ONES[self.high[at[going]]].astype(np.int64)
+            more = left[going] >= here
+            left[going[more]] -= here[more]
+            at[going[more]] += 1
+            going = going[more]
+        inside = upper > 0
+        zero = at[inside] * 8 + _ZERO[self.high[at[inside]], left[inside]]
+        out = np.zeros(len(upper), dtype=np.int64)
+        out[inside] = zero - (upper[inside] - 1)
+        return out
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        size, out = (self.n + 7) // 8, np.zeros(len(at), dtype=np.uint64)
+        byte, bit = at >> 3, (at & 7).astype(np.uint8)
+        for k in range(self.low_bits):
+            out |= (self.low[k * size + byte] >> bit & 1).astype(np.uint64) << np.uint64(k)
+        return out
+
+    def find(self, wanted: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """Where each of the wanted numbers stands, or -1; read from the packed bits.  The upper bits tell the few that may
+        be it; among these the successor is sought by halves.  ``low`` and ``high``: to look from and up to which place."""
+        out = np.full(len(wanted), -1)
+        if not self.n:
+            return out
+        wanted = np.asarray(wanted, dtype=np.uint64)
+        upper, lower = (wanted >> np.uint64(self.low_bits)).astype(np.int64), wanted & np.uint64((1 << self.low_bits) - 1)
+        on = np.flatnonzero((wanted <= np.uint64(self.last)))
+        a, b = self._before(upper[on]), self._before(upper[on] + 1)
+        if low is not None:
+            a, b = np.maximum(a, low[on]), np.minimum(b, high[on])
+        end, left = b.copy(), np.flatnonzero(a < b)
+        while len(left):
+            middle = (a[left] + b[left]) // 2
+            less = self._low(middle) < lower[on[left]]
+            a[left[less]] = middle[less] + 1
+            b[left[~less]] = middle[~less]
+            left = left[a[left] < b[left]]
+        at = np.flatnonzero(a < end)
+        hit = at[self._low(a[at]) == lower[on[at]]]
+        out[on[hit]] = a[hit]
+        return out
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at some places: each one's upper bits are found by halves over how many are less."""
+        low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), int(self.last) >> self.low_bits, dtype=np.int64)
+        left = np.flatnonzero(low < high)
+        while len(left):
+            middle = (low[left] + high[left] + 1) // 2
+            fits = self._before(middle) <= at[left]
+            low[left[fits]] = middle[fits]
+            high[left[~fits]] = middle[~fits] - 1
+            left = left[low[left] < high[left]]
+        return (low.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(np.asarray(at, dtype=np.int64))
+
     def parts(self) -> list[bytes]:
-        return [struct.pack("<QQ", self.n, self.low_bits), self.low.tobytes(), self.high.tobytes()]
+        return [struct.pack("<QQQ", self.n, self.low_bits, self.last), self.low.tobytes(), self.high.tobytes()]
 
 
 def _bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,13 +141,13 @@ class Trie:
     """Two levels over words: each word with its count and its value as a context, and under it the contexts that it
     followed, with the smoothed value of the pair.
 
-    Contexts stand by their place in the shard's list of contexts.  Within a word they rise; each word's are shifted
-    past those of the word before, so the level is one rising sequence, and a context is found as the successor of its
-    place shifted by its word.
+    The second level is one rising sequence: a word's contexts rise from its pointer on, each shifted by what the words
+    before it take, so that a level's numbers are relative to where their word begins.  A pair is sought between its
+    word's pointer and the next one's only.  An opened trie answers from the packed bits of the mapped file.
     """
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pointers: np.ndarray, contexts: np.ndarray, level: np.ndarray, as_context: np.ndarray, value: np.ndarray):
-        self.words, self.counts, self.pointers, self.contexts, self.level, self.as_context, self.value = words, counts, pointers, contexts, level, as_context, value
+    def __init__(self, words: EliasFano, counts: np.ndarray, pointers: EliasFano, level: EliasFano, contexts: EliasFano, as_context: np.ndarray, value: np.ndarray):
+        self.words, self.counts, self.pointers, self.level, self.contexts, self.as_context, self.value = words, counts, pointers, level, contexts, as_context, value
 
     @classmethod
     def build(cls, word: np.ndarray, context: np.ndarray, count: np.ndarray, word_count, pair_value, context_value) -> Trie:
@@ -90,19 +162,18 @@ class Trie:
         place = np.searchsorted(contexts, context).astype(np.uint64)
         under = np.repeat(np.arange(len(words)), np.diff(np.r_[first, len(word)]))
         level = place + under.astype(np.uint64) * np.uint64(max(1, len(contexts)))
-        return cls(words, counts, first, contexts, level, quantised(context_value(counts)), quantised(pair_value(count, counts[under])))
+        rising = [EliasFano.of(x) for x in (words, np.r_[first, len(word)], level, contexts)]
+        return cls(rising[0], counts, *rising[1:], quantised(context_value(counts)), quantised(pair_value(count, counts[under])))
 
     def tobytes(self) -> bytes:
         """The file: for each level a length and its bytes."""
-        parts = []
-        for rising in (self.words, self.pointers, self.contexts, self.level):
-            parts += EliasFano.of(rising).parts()
+        parts = [x for rising in (self.words, self.pointers, self.level, self.contexts) for x in rising.parts()]
         parts += [self.counts.astype("<i8").tobytes(), self.as_context.tobytes(), self.value.tobytes()]
         return b"".join(struct.pack("<Q", len(x)) + x for x in parts)
 
     @classmethod
     def open(cls, path: str) -> Trie:
-        """Maps a file; levels are read from the map as they are needed."""
+        """Maps a file.  Nothing is decoded: all arrays are views of the map."""
         with open(path, "rb") as f:
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         parts, at = [], 0
@@ -112,25 +183,24 @@ class Trie:
             at += 8 + size
         rising = []
         for k in range(0, 12, 3):
-            n, low_bits = struct.unpack("<QQ", parts[k].tobytes())
-            rising.append(EliasFano(n, low_bits, parts[k + 1], parts[k + 2]).values())
-        words, pointers, contexts, level = rising
-        return cls(words, parts[12].view("<i8"), pointers, contexts, level, parts[13].view("<u2"), parts[14].view("<u2"))
+            n, low_bits, last = struct.unpack("<QQQ", parts[k].tobytes())
+            rising.append(EliasFano(n, low_bits, parts[k + 1], parts[k + 2], last))
+        words, pointers, level, contexts = rising
+        return cls(words, parts[12].view("<i8"), pointers, level, contexts, parts[13].view("<u2"), parts[14].view("<u2"))
 
     def find(self, word: np.ndarray) -> np.ndarray:
         """Places of words; -1 where a word is not there."""
-        return _successor(self.words, word)
+        return self.words.find(word)
 
     def pairs(self, at: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Places in the second level of the pairs (word at a place, context); -1 where there is none."""
-        place = _successor(self.contexts, context)
-        known = (at >= 0) & (place >= 0)
-        wanted = np.where(known, place, 0).astype(np.uint64) + np.where(known, at, 0).astype(np.uint64) * np.uint64(max(1, len(self.contexts)))
-        return np.where(known, _successor(self.level, wanted), -1)
-
-
-def _successor(rising: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(rising):
-        return np.full(len(wanted), -1)
-    k = np.minimum(np.searchsorted(rising, wanted), len(rising) - 1)
-    return np.where(rising[k] == wanted, k, -1)
+        out = np.full(len(at), -1)
+        once, back = np.unique(context, return_inverse=True)
+        place = self.contexts.find(once)[back]
+        known = np.flatnonzero((at >= 0) & (place >= 0))
+        if len(known):
+            words, under = np.unique(at[known], return_inverse=True)
+            low, high = self.pointers.get(words)[under].astype(np.int64), self.pointers.get(words + 1)[under].astype(np.int64)
+            wanted = place[known].astype(np.uint64) + at[known].astype(np.uint64) * np.uint64(self.contexts.n)
+            out[known] = self.level.find(wanted, low, high)
+        return out
