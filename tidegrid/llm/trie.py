@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import mmap
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -20,9 +20,9 @@ def restored(x: np.ndarray) -> np.ndarray:
     return x.astype(np.float64) * STEP + FLOOR
 
 
-#: Of each byte: how many ones it has, and where its zeros stand.
-_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
-_ZERO = np.array([([k for k in range(8) if not b >> k & 1] + [0] * 8)[:8] for b in range(256)])
+#: Of each byte: how many zeros and how many ones it has, and where they stand.
+_COUNT = [np.array([sum(b >> k & 1 == bit for k in range(8)) for b in range(256)], dtype=np.uint8) for bit in (0, 1)]
+_PLACE = [np.array([([k for k in range(8) if b >> k & 1 == bit] + [0] * 8)[:8] for b in range(256)]) for bit in (0, 1)]
 
 
 @dataclass
@@ -34,7 +34,7 @@ class EliasFano:
     low: np.ndarray
     high: np.ndarray
     last: int = 0
-    zeros: np.ndarray | None = None
+    ranks: dict[int, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -53,35 +53,39 @@ class EliasFano:
         if not self.n:
             return np.zeros(0, np.uint64)
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | _unbits(self.low, self.low_bits, self.n)
+        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(np.arange(self.n))
+
+    def _select(self, bit: int, rank: np.ndarray) -> np.ndarray:
+        """Places of ones or zeros among the upper bits, by their ranks: 8 bytes by what stands before them, then the byte,
+        then the bit."""
+        if bit not in self.ranks:  # how many stand before each 8 bytes: half as large as the upper bits, made once
+            per_byte = np.zeros(-(-len(self.high) // 8) * 8, dtype=np.int64)
+            per_byte[: len(self.high)] = _COUNT[bit][self.high]
+            self.ranks[bit] = np.cumsum(per_byte.reshape(-1, 8).sum(1)).astype("<u4" if 8 * len(self.high) < 1 << 32 else "<u8")
+        ends = self.ranks[bit]
+        block = np.searchsorted(ends, rank.astype(ends.dtype), side="right")
+        left = rank - np.where(block > 0, ends[np.maximum(block - 1, 0)], 0).astype(np.int64)
+        at = np.minimum(block[:, None] * 8 + np.arange(8), len(self.high) - 1)
+        through = np.cumsum(_COUNT[bit][self.high[at]], axis=1, dtype=np.uint8)
+        byte = (through <= left[:, None]).sum(1)
+        row = np.arange(len(rank))
+        left -= np.where(byte > 0, through[row, np.maximum(byte - 1, 0)], 0)
+        return (block * 8 + byte) * 8 + _PLACE[bit][self.high[block * 8 + byte], left]
 
     def _before(self, upper: np.ndarray) -> np.ndarray:
         """How many numbers have upper bits less than these: the ones before the zero that ends what stands before."""
-        if self.zeros is None:  # of every 64 bytes, how many zeros stand before it: an eighth of the upper bits
-            padded = np.zeros(-(-len(self.high) // 64) * 64, dtype=np.uint8)
-            padded[: len(self.high)] = _ONES[self.high]
-            self.zeros = np.r_[0, np.cumsum(512 - padded.reshape(-1, 64).sum(1, dtype=np.int64))]
-        left = upper - 1
-        block = np.searchsorted(self.zeros, left, side="right") - 1
-        left, at = left - self.zeros[np.maximum(block, 0)], block * 64
-        going = np.flatnonzero(upper > 0)
-        while len(going):  # by bytes, those that are through drop out
-            here = 8 - _ONES[self.high[at[going]]].astype(np.int64)
-            more = left[going] >= here
-            left[going[more]] -= here[more]
-            at[going[more]] += 1
-            going = going[more]
-        inside = upper > 0
-        zero = at[inside] * 8 + _ZERO[self.high[at[inside]], left[inside]]
-        out = np.zeros(len(upper), dtype=np.int64)
-        out[inside] = zero - (upper[inside] - 1)
+        out, inside = np.zeros(len(upper), dtype=np.int64), np.flatnonzero(upper > 0)
+        out[inside] = self._select(0, upper[inside] - 1) - (upper[inside] - 1)
         return out
 
     def _low(self, at: np.ndarray) -> np.ndarray:
-        size, out = (self.n + 7) // 8, np.zeros(len(at), dtype=np.uint64)
-        byte, bit = at >> 3, (at & 7).astype(np.uint8)
-        for k in range(self.low_bits):
-            out |= (self.low[k * size + byte] >> bit & 1).astype(np.uint64) << np.uint64(k)
+        """The lower bits of the numbers at some places, from the 8 bytes that they begin in (or twice, if they are many)."""
+        out, begin, done = np.zeros(len(at), dtype=np.uint64), at.astype(np.int64) * self.low_bits, 0
+        eights = np.ndarray((len(self.low) - 7,), dtype="<u8", buffer=self.low, strides=(1,)) if self.low_bits else None
+        while done < self.low_bits:
+            some, bit = min(32, self.low_bits - done), begin + done
+            out |= (eights[bit >> 3] >> (bit & 7).astype(np.uint64) & np.uint64((1 << some) - 1)) << np.uint64(done)
+            done += some
         return out
 
     def find(self, wanted: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
@@ -109,32 +113,19 @@ class EliasFano:
         return out
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        """The numbers at some places: each one's upper bits are found by halves over how many are less."""
-        low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), int(self.last) >> self.low_bits, dtype=np.int64)
-        left = np.flatnonzero(low < high)
-        while len(left):
-            middle = (low[left] + high[left] + 1) // 2
-            fits = self._before(middle) <= at[left]
-            low[left[fits]] = middle[fits]
-            high[left[~fits]] = middle[~fits] - 1
-            left = left[low[left] < high[left]]
-        return (low.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(np.asarray(at, dtype=np.int64))
+        """The numbers at some places."""
+        at = np.asarray(at, dtype=np.int64)
+        return ((self._select(1, at) - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
 
     def parts(self) -> list[bytes]:
         return [struct.pack("<QQQ", self.n, self.low_bits, self.last), self.low.tobytes(), self.high.tobytes()]
 
 
 def _bits(values: np.ndarray, width: int) -> np.ndarray:
-    """The lower ``width`` bits of each number, one after the other; the bit planes lie in a row each."""
-    planes = [np.packbits((values >> np.uint64(k) & np.uint64(1)).astype(np.uint8), bitorder="little") for k in range(width)]
-    return np.concatenate(planes) if planes else np.zeros(0, np.uint8)
-
-
-def _unbits(data: np.ndarray, width: int, n: int) -> np.ndarray:
-    out, size = np.zeros(n, dtype=np.uint64), (n + 7) // 8
-    for k in range(width):
-        out |= np.unpackbits(data[k * size : (k + 1) * size], count=n, bitorder="little").astype(np.uint64) << np.uint64(k)
-    return out
+    """The lower ``width`` bits of each number, one after the other, and 8 bytes more."""
+    some = 1 << 16  # so many at a time; a multiple of 8 ends with a byte
+    parts = [np.packbits((values[k : k + some, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for k in range(0, len(values), some)]
+    return np.concatenate([*parts, np.zeros(8, np.uint8)])
 
 
 class Trie:
