@@ -26,7 +26,7 @@ COUNTER_BITS, FILTER_BITS = 24, 1 << 24
 COUNTERS = 1 << COUNTER_BITS
 #: Lists of a bucket are taken whole where that makes at most so many pairs for each row, after trying so many; else by
 #: stars, in so many turns, of which the last takes all lists whole.
-FEW, TRIED, TURNS = 8, 4096, 5
+FEW, TRIED, TURNS = 8, 4096, 3
 #: Least shingles of a set by which it is told into which star of a list it may belong.
 SIGNS = 8
 #: Pairs of one set that are verified in one task.
