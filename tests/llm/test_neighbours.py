@@ -46,3 +46,20 @@ def test_few_rows_and_none(spark):
     out = neighbours.search(frame(spark, vectors), F.col("vec_id") % 20 == 0).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in out) == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
     assert neighbours.search(frame(spark, []), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_ties_and_doubles(spark):
+    rng = np.random.default_rng(8)
+    x = [[float(v) for v in rng.integers(0, 2, 6)] for _ in range(600)]
+    x = [v if any(v) else [1.0, 0.0, 0.0, 0.0, 0.0, 0.0] for v in x]
+    x = [[*v, k / 1e12 + 0.5] for k, v in enumerate(x)]  # different vectors, most ties broken far behind float's digits
+    x[:300] = [[*v[:6], 0.0] for v in x[:300]]
+    ids = list(range(600))
+    docs = spark.createDataFrame(list(zip(ids, x)), "vec_id long, embedding array<double>").repartition(5)
+    out = neighbours.search(docs, F.col("vec_id") == 7, how=neighbours.Hashing(probes=9, tables=12, width=50.0, block=64))
+    score = lambda k: float(np.cumsum(np.array(x[7]) * np.array(x[k]))[-1])
+    wanted = sorted((-score(k), k) for k in ids if k != 7)[:20]
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in out.orderBy("rank").collect()] == [(n, k, -v) for n, (v, k) in enumerate(wanted, 1)]
+    large = spark.createDataFrame([(0, [1e200, 1.0]), (1, [1e-50, 0.0]), (2, [0.1, 0.2]), (3, [0.3, 0.7])], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in neighbours.search(large, F.lit(True)).collect()}
+    assert len(found) == 12 and found[2, 3] == 0.1 * 0.3 + 0.2 * 0.7

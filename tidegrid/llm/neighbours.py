@@ -92,10 +92,18 @@ def _meet(base: DataFrame, asking: DataFrame, keep: int, block: int) -> DataFram
         q = np.stack(right["vector"].to_numpy()).astype(np.float64)
         n = min(keep, len(a))
         rough = q @ a.T
-        best = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(a) else np.broadcast_to(np.arange(n), (len(q), n))
-        rows = np.repeat(np.arange(len(q)), n)
-        exact = np.cumsum(q[rows] * a[best.ravel()], axis=1)[:, -1]  # in order, so alike wherever two vectors meet
-        return pd.DataFrame({"q": right["cls"].to_numpy()[rows], "c": left["cls"].to_numpy()[best.ravel()], "score": exact})
+        least = np.partition(rough, len(a) - n, axis=1)[:, len(a) - n]
+        slack = 1e-12 * len(a[0]) * (np.abs(q) @ np.abs(a).max(0)) + 1e-300  # more than the product's last bits
+        least = np.nan_to_num(least - slack, nan=-np.inf, neginf=-np.inf)
+        names, parts = left["cls"].to_numpy(), []
+        for at in range(0, len(q), 256):
+            rows, found = np.nonzero(rough[at : at + 256] >= least[at : at + 256, None])  # all that tie with the last one
+            exact = np.concatenate([np.cumsum(q[at + rows[k : k + 65_536]] * a[found[k : k + 65_536]], axis=1)[:, -1] for k in range(0, len(rows), 65_536)])  # in order, so alike wherever two vectors meet
+            by = np.lexsort((names[found], -exact, rows))
+            first = np.searchsorted(rows[by], np.arange(rows.max() + 1))
+            by = by[np.arange(len(by)) - first[rows[by]] < n]
+            parts.append(pd.DataFrame({"q": right["cls"].to_numpy()[at + rows[by]], "c": names[found[by]], "score": exact[by]}))
+        return pd.concat(parts)
 
     keys = [*by, "i", "j"]
     return base.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(run, "q long, c long, score double")
@@ -114,7 +122,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id: str = "vec_
     Extra columns are not read.
     """
     spark = vectors.sparkSession
-    rows = _usable(vectors.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vector")
+    rows = _usable(vectors.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vector")
     sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
@@ -141,7 +149,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id: str = "vec_
 
         return run
 
-    shape = "tab int, bucket long, cls long, vector array<float>"
+    shape = "tab int, bucket long, cls long, vector array<double>"
     wide = classes.select("cls", "vector", "asked")
     base = wide.select("cls", "vector").mapInPandas(placed(False), shape)
     asking = wide.where("asked").select("cls", "vector").mapInPandas(placed(True), shape)
