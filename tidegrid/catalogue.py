@@ -13,8 +13,8 @@ from .plans.engine import Engine
 from .sources import tables, testdata
 
 DAY, HOUR, MINUTE = 86_400_000, 3_600_000, 60_000
-#: The steps: ten days from 2024-01-01 01:00 UTC.
-START, STEP, STEPS = 1_704_070_800_000, 6 * HOUR, 41
+#: The steps: the 30 days of all events, from 2024-01-01 00:00 UTC on.
+START, STEP, STEPS = 1_704_067_200_000, 6 * HOUR, 121
 END = START + (STEPS - 1) * STEP
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,9 +211,9 @@ register("histogram_fraction", "histogram_fraction(0, 50, events_value_bucket)",
 register("histogram_quantiles", 'histogram_quantiles(events_value_bucket, "q", 0.5, 0.9)', ("event_type", "q"), None, source="buckets", lookback=DAY)
 
 # Daily sums of another table
-_LS = 852_076_800_000
-register("lineitem_by_flag", "sum by (returnflag) (sum_over_time(lineitem_quantity[30d]))", ("returnflag",), f"""WITH s AS ({_QUANTITY}), g AS (SELECT {_LS} + k * {10 * DAY} AS ts FROM range(0, 31) r(k))
- SELECT returnflag, g.ts, {_rounded('sum(v)')} AS f FROM s JOIN g ON s.t > g.ts - {30 * DAY} AND s.t <= g.ts GROUP BY returnflag, g.ts""", source="quantity", start=_LS, end=_LS + 300 * DAY, step=10 * DAY)
+_LS = 788_918_400_000  # 1995-01-01; the last day is in 2001
+register("lineitem_by_flag", "sum by (returnflag) (sum_over_time(lineitem_quantity[30d]))", ("returnflag",), f"""WITH s AS ({_QUANTITY}), g AS (SELECT {_LS} + k * {10 * DAY} AS ts FROM range(0, 252) r(k))
+ SELECT returnflag, g.ts, {_rounded('sum(v)')} AS f FROM s JOIN g ON s.t > g.ts - {30 * DAY} AND s.t <= g.ts GROUP BY returnflag, g.ts""", source="quantity", start=_LS, end=_LS + 2510 * DAY, step=10 * DAY)
 
 
 # What isn't an expression: series and samples themselves
@@ -228,10 +228,10 @@ def _source_query(name: str, sql: str | None):
     return add
 
 
-@_source_query("series_scan", f"SELECT event_type, t, v FROM ({_EVENTS}) WHERE t BETWEEN {START} AND {START + DAY} AND event_type <> 'error'")
+@_source_query("series_scan", f"SELECT event_type, t, v FROM ({_EVENTS}) WHERE t BETWEEN {START} AND {END} AND event_type <> 'error'")
 def series_scan(spark: SparkSession, path: str) -> DataFrame:
     source = testdata.events_value(spark, path)
-    series, samples = source.select((Matcher("event_type", "!=", "error"),), START, START + DAY)
+    series, samples = source.select((Matcher("event_type", "!=", "error"),), START, END)
     return samples.join(series, samples["key"] == series["series_id"]).select(L.value(F.col("labels"), "event_type").alias("event_type"), "t", F.col("f").alias("v"))
 
 
@@ -256,10 +256,10 @@ def delete_range(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, path: str) -> DataFrame:
-    """sum by (event_type) (rate(events_value[6h])), hourly over ten days."""
+    """sum by (event_type) (rate(events_value[6h])), hourly over all days."""
     engine = Engine(spark, testdata.events_value(spark, path), lookback=HOUR)
-    return flat(engine.range("sum by (event_type) (rate(events_value[6h]))", START, START + 10 * DAY, HOUR), E1)
+    return flat(engine.range("sum by (event_type) (rate(events_value[6h]))", START, END, HOUR), E1)
 
 
 QUERIES["flagship"] = flagship
-SQL["flagship"] = rate_sql("events", E1, "rate", 6 * HOUR).replace(_GRID, f"SELECT {START} + k * {HOUR} AS ts FROM range(0, 241) r(k)")
+SQL["flagship"] = rate_sql("events", E1, "rate", 6 * HOUR).replace(_GRID, f"SELECT {START} + k * {HOUR} AS ts FROM range(0, {(END - START) // HOUR + 1}) r(k)")
