@@ -95,3 +95,13 @@ def test_any_text_parses_or_says_why(text):
         parse(text)
     except ParseError:
         pass
+
+
+@pytest.mark.parametrize("text", [r'"\x."', r'"\u."', r'"\U1"', r'"\ud800"', r"'\400'", r'"\UFFFFFFFF"', r'"\8"'])
+def test_escapes_that_are_no_characters(text):
+    with pytest.raises(ParseError):
+        parse(text)
+
+
+def test_escapes_that_are_characters():
+    assert parse(r'"\x41\u00e9\101\n"').value == "A\u00e9A\n"
