@@ -27,6 +27,8 @@ COUNTERS = 1 << COUNTER_BITS
 #: Lists of a bucket are taken whole where that makes at most so many pairs for each row, after trying so many; else by
 #: stars, in so many turns, of which the last takes all lists whole.
 FEW, TRIED, TURNS = 8, 4096, 3
+#: Sets of a list that are held against the others in a turn of stars; of a set's pairs, those met in most lists are tried.
+LEADS = 8
 #: Least shingles of a set by which it is told into which star of a list it may belong.
 SIGNS = 8
 #: Pairs of one set that are verified in one task.
@@ -307,7 +309,7 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) ->
 
     Sets take their components along (a join of sets, not of shingles), their shingles are packed by bucket, and each
     bucket's task forms the lists.  In a list of one component there is nothing to do.  Of the others all pairs of
-    different components are made, if they are few beside the rows or this is the ``last`` turn; else those of one set of
+    different components are made, if they are few beside the rows or this is the ``last`` turn; else those of some sets of
     a list and each range of sizes with the others, which ``turn`` chooses, and some are left.
     """
     spark = prefixes.sparkSession
@@ -348,7 +350,7 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) ->
                 span = np.floor(np.log(n.astype(float)) * 3 + turn / 3).astype(np.int64)
                 with np.errstate(over="ignore"):
                     rank = _mixed(cls.view(np.uint64) + np.uint64(turn) * _MIX)
-                *pairs, times = _starred(sh, span, cls, n, pos, rank, comp)
+                *pairs, times = _starred(sh, span, cls, n, pos, rank, comp, LEADS)
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([1], pa.int32())], names=["to", "data", "left"])
             a, b = pairs
             if not len(a):
@@ -382,6 +384,8 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) ->
 def _summed_pairs(rows: list[np.ndarray]) -> np.ndarray:
     """(a, b, times) with each pair once."""
     x = np.concatenate(rows)
+    if not len(x):
+        return x
     x = x[np.lexsort((x[:, 1], x[:, 0]))]
     first = np.flatnonzero(np.r_[True, (x[1:, :2] != x[:-1, :2]).any(1)])
     return np.column_stack([x[first, :2], np.add.reduceat(x[:, 2], first)])
@@ -410,17 +414,23 @@ def _whole(rows: list[np.ndarray], anyhow: bool) -> tuple[np.ndarray, np.ndarray
     return (sets[made // len(sets)], sets[made % len(sets)]) if len(sets) else (rows[2], rows[2])
 
 
-def _starred(sh: np.ndarray, group: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each list, and each group in it, the pairs of its first set (by ``rank``, then ``cls``) with the others, or
-    those of other components; and how often each pair was met."""
+def _starred(sh: np.ndarray, group: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray | None = None, comp: np.ndarray | None = None, leads: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each list, and each group in it, the pairs of its first ``leads`` sets (by ``rank``, then ``cls``) with those
+    after them, or with those of other components; and how often each pair was met."""
     by = np.lexsort((cls, cls if rank is None else rank, group, sh))
     sh, group, cls, n, pos = (x[by] for x in (sh, group, cls, n, pos))
+    names = cls if comp is None else comp[by]
     first = np.flatnonzero(np.r_[True, (sh[1:] != sh[:-1]) | (group[1:] != group[:-1])]) if len(sh) else np.zeros(0, np.int64)
-    lead = np.repeat(first, np.diff(np.r_[first, len(sh)]))
-    apart = cls != cls[lead] if comp is None else comp[by] != comp[by][lead]
-    keep = apart & _near(n, pos, n[lead], pos[lead])
-    both, times = np.unique(np.stack([cls[lead][keep], cls[keep]], axis=1), axis=0, return_counts=True)
-    return both[:, 0], both[:, 1], times.astype(np.int64)
+    start = np.repeat(first, np.diff(np.r_[first, len(sh)]))
+    found = []
+    for k in range(leads):
+        own = np.flatnonzero(np.arange(len(sh)) - start > k)
+        lead = start[own] + k
+        keep = (names[own] != names[lead]) & _near(n[own], pos[own], n[lead], pos[lead])
+        both, times = np.unique(np.stack([cls[lead][keep], cls[own][keep]], axis=1), axis=0, return_counts=True)
+        found.append(np.column_stack([both, times]))
+    a, b, times = _summed_pairs(found).T
+    return a, b, times
 
 
 def _width(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -676,7 +686,7 @@ def join(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
 
     Candidates come from prefixes: sets in the order of a sketch of their shingles' counts, rarest first, and so short
     that two linked sets share a shingle of their prefixes.  To keep large groups of near copies from making all their
-    pairs, a list's sets are first held against one of them each (stars), by turns with another choice; then against
+    pairs, a list's sets are first held against one or a few of them (stars), by turns with another choice; then against
     every set that is in another component still, so that no link between components is missed.
 
     Null and empty texts, and texts without words: no shingles, a component each by its own id.  Null ids: rows of
