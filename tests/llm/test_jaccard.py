@@ -111,6 +111,31 @@ def test_all_pairs_of_lists_are_made():
     assert set(zip(*(x.tolist() for x in jaccard._whole(rows, False)))) == wanted
 
 
+def test_counts_of_lists_rule_out_no_link():
+    rng = np.random.default_rng(5)
+    base, sets = rng.integers(0, 1 << 60, 200).astype(np.uint64), []
+    for _ in range(200):
+        mine = base[: int(rng.integers(60, 200))].copy()
+        k = int(rng.integers(0, len(mine) // 4))
+        mine[rng.choice(len(mine), k, replace=False)] = rng.integers(0, 1 << 60, k)
+        sets.append(np.unique(mine))
+    shingle, times = np.unique(np.concatenate(sets), return_counts=True)
+    often = dict(zip(shingle.tolist(), times.tolist(), strict=True))
+    rows = [(x, cls, len(s), pos) for cls, s in enumerate(sets) for pos, x in enumerate(sorted(s.tolist(), key=lambda x: (often[x], x))[: jaccard.prefix_size(len(s))])]
+    sh, cls, n, pos = (np.array(x) for x in zip(*sorted(rows, key=lambda r: (r[0], r[2], r[1]))))
+    made = jaccard._counted_pairs([sh.astype(np.uint64), cls, cls, n, pos])
+    where = {}
+    for x, own, *_ in rows:
+        where.setdefault(own, set()).add(x)
+    kept = set()
+    for a, b, count, need in made.tolist():
+        assert count & 0xFFFFFFFF == len(where[a] & where[b])
+        if count & 0xFFFFFFFF >= need and count >> 32:
+            kept.add((a, b))
+    linked = {(a, b) for a in range(200) for b in range(a + 1, 200) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert linked <= kept and linked and len(kept) < len(made) / 2
+
+
 def test_more_turns_find_the_same(spark, monkeypatch):
     rows = mutated(40, 7)
     monkeypatch.setattr(jaccard, "TRIED", 0)

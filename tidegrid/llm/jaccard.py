@@ -344,24 +344,27 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) ->
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             on = np.repeat(mixed, np.diff(np.r_[begin, len(sh)]))
             rows = [x[on] for x in (sh, comp, cls, n, pos)]
-            pairs, times = _whole(rows, last), 0
-            if pairs is None:
+            if last:
+                all4 = _counted_pairs(rows)
+            elif (pairs := _whole(rows)) is not None:
+                all4 = _no_need(*pairs, 0)
+            else:
                 sh, comp, cls, n, pos = rows
                 span = np.floor(np.log(n.astype(float)) * 3 + turn / 3).astype(np.int64)
                 with np.errstate(over="ignore"):
                     rank = _mixed(cls.view(np.uint64) + np.uint64(turn) * _MIX)
-                *pairs, times = _starred(sh, span, cls, n, pos, rank, comp, LEADS)
+                all4 = _no_need(*_starred(sh, span, cls, n, pos, rank, comp, LEADS))
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([1], pa.int32())], names=["to", "data", "left"])
-            a, b = pairs
-            if not len(a):
+            if not len(all4):
                 continue
+            a, b = (all4[:, k].astype(np.uint64) for k in (0, 1))
             with np.errstate(over="ignore"):
-                to = (_mixed(a.view(np.uint64) * _MIX + b.view(np.uint64)) % np.uint64(parts_of)).astype(np.int64)
+                to = (_mixed(a * _MIX + b) % np.uint64(parts_of)).astype(np.int64)
             by = np.argsort(to, kind="stable")
-            all3 = np.stack([a, b, np.broadcast_to(times, len(a))], axis=1)[by]
+            all4 = all4[by]
             ends = np.searchsorted(to[by], np.arange(parts_of + 1))
             some = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zstandard.compress(all3[ends[k] : ends[k + 1]].tobytes(), 1) for k in some.tolist()], pa.binary()), pa.nulls(len(some), pa.int32())], names=["to", "data", "left"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zstandard.compress(all4[ends[k] : ends[k + 1]].tobytes(), 1) for k in some.tolist()], pa.binary()), pa.nulls(len(some), pa.int32())], names=["to", "data", "left"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -370,11 +373,13 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) ->
                 if data is None:
                     yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([left], pa.int32())], names=["a", "b", "times", "left"])
                 else:
-                    kept.append(np.frombuffer(zstandard.decompress(data), dtype=np.int64).reshape(-1, 3))
+                    kept.append(np.frombuffer(zstandard.decompress(data), dtype=np.int64).reshape(-1, 4))
                     if sum(map(len, kept[1:])) > 1 << 20:
                         kept = [_summed_pairs(kept)]
         if kept:
-            yield _pair_rows(*_summed_pairs(kept).T)
+            a, b, times, need = _summed_pairs(kept).T
+            on = (need == 0) | ((times & 0xFFFFFFFF) >= need) & (times >> 32 > 0)
+            yield _pair_rows(a[on], b[on], np.where(need > 0, 0, times)[on])
 
     parts_of = shuffle_partitions(spark)
     packs = labelled.mapInArrow(emit, "bucket int, data binary").repartition(parts_of, "bucket").mapInArrow(meet, "to int, data binary, left int")
@@ -382,20 +387,25 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) ->
 
 
 def _summed_pairs(rows: list[np.ndarray]) -> np.ndarray:
-    """(a, b, times) with each pair once."""
+    """(a, b, times) with each pair once, and what else the rows say of their pairs, which is the same in all."""
     x = np.concatenate(rows)
     if not len(x):
         return x
     x = x[np.lexsort((x[:, 1], x[:, 0]))]
     first = np.flatnonzero(np.r_[True, (x[1:, :2] != x[:-1, :2]).any(1)])
-    return np.column_stack([x[first, :2], np.add.reduceat(x[:, 2], first)])
+    return np.column_stack([x[first, :2], np.add.reduceat(x[:, 2], first), x[first, 3:]])
 
 
 def _pair_rows(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(times), pa.nulls(len(a), pa.int32())], names=["a", "b", "times", "left"])
 
 
-def _whole(rows: list[np.ndarray], anyhow: bool) -> tuple[np.ndarray, np.ndarray] | None:
+def _no_need(a: np.ndarray, b: np.ndarray, times: np.ndarray | int) -> np.ndarray:
+    """Rows as of ``_counted_pairs``, of pairs of which not all lists are seen."""
+    return np.column_stack([a, b, np.broadcast_to(times, len(a)), np.zeros(len(a), np.int64)])
+
+
+def _whole(rows: list[np.ndarray], anyhow: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
     """All pairs of the lists, each once; or, if they are many beside the rows and needn't be made ``anyhow``, None."""
     if not anyhow and _width(rows)[1].sum() > TRIED * len(rows[0]):
         return None
@@ -460,6 +470,38 @@ def _crossed(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield x[keep], y[keep]
 
 
+def _counted_pairs(rows: list[np.ndarray]) -> np.ndarray:
+    """(a, b, count, need) of all pairs of the lists whose sets are of different components and whose sizes allow a link.
+
+    ``count`` is how many lists both stand in, and 2^32 for each of those where the positional filter lets them pass.
+    ``need`` is how many shingles of their prefixes linked sets share at least: of the two prefixes, what one set has
+    after the one that ends first is all that they can share besides.
+    """
+    sh, comp, cls, n, pos = rows
+    sets, index, place = np.unique(cls, return_index=True, return_inverse=True)
+    size = n.astype(np.int64)
+    key = (np.cumsum(np.r_[0, sh[1:] != sh[:-1]]) << 32 if len(sh) else np.zeros(0, np.int64)) + size
+    width = np.searchsorted(key, key - size + UNDER * size // OVER, side="right") - np.arange(len(key)) - 1
+    done, fresh = [np.zeros((0, 3), np.int64)], 0
+    for begin, end in _portions(width, 1 << 20):
+        wide = width[begin:end]
+        x = np.repeat(np.arange(begin, end), wide)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(wide) - wide, wide)
+        apart = comp[x] != comp[y]
+        x, y = x[apart], y[apart]
+        times = 1 + (_near(n[x], pos[x], n[y], pos[y]).astype(np.int64) << 32)
+        x, y = place[x], place[y]
+        done.append(_summed_pairs([np.column_stack([np.minimum(x, y), np.maximum(x, y), times])]))
+        fresh += len(done[-1])
+        if fresh > 1 << 21:
+            done, fresh = [_summed_pairs(done)], 0
+    x, y, count = _summed_pairs(done).T
+    n, m = size[index][x], size[index][y]
+    long = np.maximum(n, m)
+    need = np.maximum(1, least_overlap(n, m) - (long - prefix_size(long)))
+    return np.column_stack([sets[x], sets[y], count, need])
+
+
 def _portions(width: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     total, at = np.r_[0, np.cumsum(width)], 0
     while at < len(width):
