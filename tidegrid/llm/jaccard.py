@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
-from .common import materialise, shuffle_partitions, small_batches, table, written
-from .graph import components
+from .common import BROADCAST_ROWS, materialise, shuffle_partitions, small_batches, swept, table, written
+from .graph import TOGETHER, components, together
 
 #: Words of a shingle, and the threshold as a fraction: shingles in both over shingles in either.
 WORDS, OVER, UNDER = 5, 75, 100
@@ -32,7 +32,7 @@ LEADS = 8
 #: Least shingles of a set by which it is told into which star of a list it may belong.
 SIGNS = 8
 #: Pairs of one set that are verified in one task.
-SHARE = 4096
+SHARE = 256
 #: Slices of the sketch, and to which power of 2 packs of tasks are put together at once.
 SLICES, FAN_BITS = 16, 6
 #: Sets, and shingles of all of them, of a block in which links are counted at once.
@@ -314,7 +314,7 @@ def _candidates(prefixes: DataFrame, comps: DataFrame, turn: int, last: bool) ->
     """
     spark = prefixes.sparkSession
     buckets = 2 * shuffle_partitions(spark)
-    labelled = prefixes.join(comps, prefixes["cls"] == comps["node"], "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "sh", "pos")
+    labelled = prefixes.join(F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps, prefixes["cls"] == comps["node"], "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "sh", "pos")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -756,11 +756,13 @@ def _components(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFra
     for turn in range(1, TURNS + 2):
         if not pairs.isEmpty():
             comps = _joined(comps, _verified(own, classes, pairs, kept))
+        swept(spark)
         if not left:
             break
         made = written(_candidates(prefixes, comps, turn, turn == TURNS), "candidates")
         left = made.agg(F.sum("left")).first()[0]
         pairs = materialise(_wanted(made.where("a IS NOT NULL")).join(tried, ["a", "b"], "left_anti"))
+        swept(spark)
         tried = tried.unionByName(pairs)
     return members, classes, comps, kept
 
@@ -776,7 +778,10 @@ def _wanted(made: DataFrame) -> DataFrame:
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp) with the new links (a, b): components are found of what the old ones and new sets make, so that many
-    links between two components are one."""
+    links between two components are one.  Few of both are put together in one task."""
+    both = links.select("a", "b").unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    if both.count() <= TOGETHER:
+        return together(both)
     one, other = (comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b"))
     ends = links.join(one, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     found = components(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
