@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidegrid.llm import store
-from tidegrid.llm.tokens import Encoder
+from tidegrid.llm.tokens import _WORKERS, Encoder
 
 FILES = {"word_bpe_49k.json": False, "byte_bpe_50k.json": True}
 
@@ -88,3 +88,19 @@ def test_damage_is_found(spark, stored):
 def test_empty(spark, nothing):
     made = store.write(nothing, public_tokenizers.path("word_bpe_49k.json"), end=2)
     assert store.read(spark, made).count() == 0
+
+
+def test_cuts_of_many_documents_are_those_of_each():
+    rng = np.random.default_rng(3)
+    sizes = [1, 5, 64, 65, 700, 0, 9000, 15, 130, 2049, 3]
+    docs = [rng.integers(0, 49_000, n).astype(np.uint16) for n in sizes]
+    docs[6][2000:8000] = 7  # a run without marks
+    assert store.cuts_of(np.concatenate(docs), sizes) == [store.cuts(x) for x in docs]
+
+
+def test_worker_keeps_one_encoder():
+    odd = ["Straße, it's ªb µx º!", "Ã© é", "a\xa0b", "x<|y", "  x  y\r\n", "ÀÉ×÷ !!!", "Ābc 日本", "'", "a1b2 3,4"]
+    for name, spaces in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        encoder = Encoder.of(public_tokenizers.path(name), spaces=spaces)
+        assert [x.tolist() for x in encoder.ids(odd)] == [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
+    assert list(_WORKERS) == [public_tokenizers.path("byte_bpe_50k.json")]

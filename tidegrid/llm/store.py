@@ -41,13 +41,24 @@ def rolling(ids: np.ndarray) -> np.ndarray:
 
 def cuts(ids: np.ndarray) -> list[int]:
     """The ends of the chunks of one document."""
-    n = len(ids)
+    return cuts_of(ids, [len(ids)])[0]
+
+
+def cuts_of(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """The ends of the chunks of each of some documents, whose ids stand one after the other.  The hash of fewer than
+    ``WINDOW`` ids differs beside other documents, but ends no chunk, as those are longer."""
+    with np.errstate(over="ignore"):
+        marks = np.flatnonzero((rolling(ids) & MASK) == 0) + 1
+    ends = np.cumsum(sizes)
+    edge = np.searchsorted(marks, np.r_[0, ends], side="right")
+    return [_cuts(n, (marks[edge[k] : edge[k + 1]] - (end - n)).tolist()) for k, (n, end) in enumerate(zip(sizes, ends.tolist(), strict=True))]
+
+
+def _cuts(n: int, marks: list[int]) -> list[int]:
     if n <= LEAST:
         return [n] if n else []
     ends, last = [], 0
-    with np.errstate(over="ignore"):
-        marks = np.flatnonzero((rolling(ids) & MASK) == 0) + 1
-    for end in [*marks.tolist(), n]:
+    for end in [*marks, n]:
         while end - last > MOST:
             last += MOST
             ends.append(last)
@@ -176,11 +187,11 @@ def write(docs: DataFrame, tokenizer: str, *, end: int, spaces: bool = False, id
         for batch in batches:
             kind = batch.schema.field("id").type
             ns, recipes, roots = [], [], []
-            for raw in encoder.raw(batch.column(2).to_pylist()):
-                raw += last
-                ids = np.frombuffer(raw, dtype=encoder.dtype)
+            raws = [raw + last for raw in encoder.raw(batch.column(2).to_pylist())]
+            sizes = [len(raw) // width for raw in raws]
+            for raw, size, stops in zip(raws, sizes, cuts_of(np.frombuffer(b"".join(raws), dtype=encoder.dtype), sizes), strict=True):
                 at, recipe = 0, []
-                for stop in cuts(ids):
+                for stop in stops:
                     chunk = raw[at * width : stop * width]
                     at = stop
                     recipe.append(name := digest(chunk))
@@ -188,7 +199,7 @@ def write(docs: DataFrame, tokenizer: str, *, end: int, spaces: bool = False, id
                         seen.add(name)
                         waiting.setdefault(int.from_bytes(name[:2], "big") % buckets, []).append((name, chunk))
                         held += len(chunk)
-                ns.append(len(ids))
+                ns.append(size)
                 recipes.append(recipe)
                 roots.append(merkle(recipe))
             n = len(ns)
