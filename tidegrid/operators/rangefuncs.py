@@ -32,6 +32,15 @@ def _change() -> Column:
     return ieee.compare("!=", at.f, at.pf) & ~(F.isnan(at.f) & F.isnan(at.pf))
 
 
+def _first() -> Column:
+    """The value of the window's first sample, the only one without another before it inside."""
+    return F.max(F.when(~at.inside, at.f))
+
+
+def _last() -> Column:
+    return F.max_by(F.when(at.final, at.f), F.when(at.final, at.t))
+
+
 def _extremum(sign: int) -> Column:
     """The time of the largest or smallest value, the latest of equal ones; without numbers the latest sample's."""
     value = at.f if sign > 0 else -at.f
@@ -56,8 +65,8 @@ SIMPLE: dict[str, Callable[[], Column]] = {
     "max_over_time": lambda: ieee.largest(at.f),
     "stddev_over_time": lambda: F.sqrt(_variance()),
     "stdvar_over_time": _variance,
-    "first_over_time": lambda: F.min_by(at.f, at.t),
-    "last_over_time": lambda: F.max_by(at.f, at.t),
+    "first_over_time": _first,
+    "last_over_time": _last,
     "ts_of_first_over_time": lambda: F.min(at.t) / 1000.0,
     "ts_of_last_over_time": lambda: F.max(at.t) / 1000.0,
     "ts_of_max_over_time": lambda: _extremum(1),
@@ -88,7 +97,7 @@ def rate(rows: DataFrame, name: str, span: int, offset: int) -> DataFrame:
     window's edges as far as samples stand about that far apart."""
     counter, per_second = name != "delta", name == "rate"
     lost = F.sum(F.when(at.inside & _drop(), at.pf).otherwise(0.0)) if counter else F.max(lit(0.0))
-    g = rows.groupBy("key", "ts").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by("f", "t").alias("f0"), F.max_by("f", "t").alias("f1"), lost.alias("lost")).where("n >= 2")
+    g = rows.groupBy("key", "ts").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), _first().alias("f0"), _last().alias("f1"), lost.alias("lost")).where("n >= 2")
     g = g.withColumn("result", F.col("f1") - F.col("f0") + F.col("lost")).withColumn("sampled", (F.col("t1") - F.col("t0")) / 1000.0)
     g = g.withColumn("mean", F.col("sampled") / (F.col("n") - 1))
     start = (F.col("t0") - (F.col("ts") - offset - span)) / 1000.0
@@ -98,7 +107,7 @@ def rate(rows: DataFrame, name: str, span: int, offset: int) -> DataFrame:
     if counter:
         zero = F.col("sampled") * (F.col("f0") / F.when(F.col("result") > 0, F.col("result")))
         g = g.withColumn("a", F.when((F.col("result") > 0) & (F.col("f0") >= 0), F.least("a", zero)).otherwise(F.col("a")))
-    out = F.col("result") * ((F.col("sampled") + F.col("a") + F.col("b")) / F.col("sampled"))
+    out = F.col("result") * ieee.div(F.col("sampled") + F.col("a") + F.col("b"), F.col("sampled"))
     return g.select("key", "ts", (out / (span / 1000.0) if per_second else out).alias("f"))
 
 
@@ -110,7 +119,7 @@ def edge_rate(inner: DataFrame, left: DataFrame, name: str, span: int, right: Da
     """
     pairs = {"changes": _change(), "resets": _drop()}.get(name)
     own = inner.groupBy("key", "ts").agg(
-        F.min_by("f", "t").alias("f0"), F.max_by("f", "t").alias("f1"), F.sum(F.when(at.inside & _drop(), at.pf).otherwise(0.0)).alias("lost"), F.count("*").alias("n"),
+        _first().alias("f0"), _last().alias("f1"), F.sum(F.when(at.inside & _drop(), at.pf).otherwise(0.0)).alias("lost"), F.count("*").alias("n"),
         (_count_pairs(pairs) if pairs is not None else F.max(lit(0.0))).alias("pairs"),
     )
     g = own.join(left.select("key", "ts", F.col("f").alias("e0"), "real_f"), ["key", "ts"], "full" if right is not None else "left")
@@ -132,9 +141,9 @@ def edge_rate(inner: DataFrame, left: DataFrame, name: str, span: int, right: Da
 def instant(rows: DataFrame, name: str) -> DataFrame:
     """irate and idelta: of the window's last two samples."""
     last = F.max_by(F.struct("f", "pf", "t", "pt", "inside"), "t").alias("l")
-    g = rows.groupBy("key", "ts").agg(last).where("l.inside").select("key", "ts", "l.*")
+    g = rows.where("final").groupBy("key", "ts").agg(last).where("l.inside").select("key", "ts", "l.*")
     gone = at.f - at.pf if name == "idelta" else F.when(_drop(), at.f).otherwise(at.f - at.pf)
-    return g.select("key", "ts", (gone if name == "idelta" else gone / ((at.t - at.pt) / 1000.0)).alias("f"))
+    return g.select("key", "ts", (gone if name == "idelta" else ieee.div(gone, (at.t - at.pt) / 1000.0)).alias("f"))
 
 
 def line(rows: DataFrame, name: str, ahead: Column | None) -> DataFrame:

@@ -16,9 +16,10 @@ def newest(samples: DataFrame, grid: Grid, lookback: int, offset: int) -> DataFr
     """(key, ts, f, t): at each step the newest sample in (step - offset - lookback, step - offset].
 
     A sample holds until the next one of its series or until it is too old, so it is dealt to the steps of that span;
-    steps and samples are not joined.  A stale marker ends the sample before it and holds nowhere itself.
+    steps and samples are not joined.  A stale marker ends the sample before it and holds nowhere itself.  Of
+    samples of one moment the largest holds.
     """
-    after = F.lead("t").over(Window.partitionBy("key").orderBy("t"))
+    after = F.lead("t").over(Window.partitionBy("key").orderBy("t", "f"))
     until = F.least(F.coalesce(after, F.lit(NEVER)) - 1, F.col("t") + F.lit(lookback - 1))
     first, last = grid.covered(F.col("t"), F.col("until"), offset)
     held = samples.withColumn("until", until).where("NOT stale").withColumns({"k0": first, "k1": last}).where("k0 <= k1")
@@ -28,7 +29,7 @@ def newest(samples: DataFrame, grid: Grid, lookback: int, offset: int) -> DataFr
 def smoothed(samples: DataFrame, grid: Grid, lookback: int, offset: int) -> DataFrame:
     """As ``newest``, but on the line to the following sample if that comes within the look-back; a series' first
     sample stands for the look-back before it too."""
-    order = Window.partitionBy("key").orderBy("t")
+    order = Window.partitionBy("key").orderBy("t", "f")
     rows = samples.where("NOT stale").withColumns({"nt": F.lead("t").over(order), "nf": F.lead("f").over(order), "pt": F.lag("t").over(order)})
     until = F.least(F.coalesce(F.col("nt"), F.lit(NEVER)) - 1, F.col("t") + F.lit(lookback - 1))
     since = F.when(F.col("pt").isNull() | (F.col("t") - F.col("pt") >= lookback), F.greatest(F.col("t") - F.lit(lookback - 1), F.coalesce(F.col("pt") + F.lit(lookback), F.col("t") - F.lit(lookback - 1)))).otherwise(F.col("t"))
@@ -43,20 +44,22 @@ def smoothed(samples: DataFrame, grid: Grid, lookback: int, offset: int) -> Data
 
 def windows(samples: DataFrame, grid: Grid, span: int, offset: int) -> DataFrame:
     """A row for each sample and each step whose window (step - offset - span, step - offset] holds it:
-    key, ts, t, f, and pt, pf, of the series' sample before it, with ``inside`` where that is in the window too."""
-    order = Window.partitionBy("key").orderBy("t")
-    rows = samples.where("NOT stale").withColumns({"pt": F.lag("t").over(order), "pf": F.lag("f").over(order)})
+    key, ts, t, f, and pt, pf, of the series' sample before it, with ``inside`` where that is in the window too, and
+    ``final``, whether none of the same moment follows.  Samples of one moment stand in the order of their values."""
+    order = Window.partitionBy("key").orderBy("t", "f")
+    final = F.coalesce(F.lead("t").over(order) > F.col("t"), F.lit(True))
+    rows = samples.where("NOT stale").withColumns({"pt": F.lag("t").over(order), "pf": F.lag("f").over(order), "final": final})
     first, last = grid.covered(F.col("t"), F.col("t") + F.lit(span - 1), offset)
     rows = rows.withColumns({"k0": first, "k1": last}).where("k0 <= k1").withColumn("k", F.explode(F.sequence("k0", "k1")))
     ts = grid.at(F.col("k"))
     inside = F.coalesce(F.col("pt") > ts - F.lit(offset + span), F.lit(False))
-    return rows.select("key", ts.alias("ts"), "t", "f", "pt", "pf", inside.alias("inside"))
+    return rows.select("key", ts.alias("ts"), "t", "f", "pt", "pf", inside.alias("inside"), "final")
 
 
 def edges(samples: DataFrame, grid: Grid, span: int, offset: int, lookback: int, both: bool) -> DataFrame:
     """Windows with their edges: as ``windows``, plus the sample at or before the left edge (not older than the
     look-back) moved to it; with ``both``, values at the edges on the line between neighbours."""
-    order = Window.partitionBy("key").orderBy("t")
+    order = Window.partitionBy("key").orderBy("t", "f")
     rows = samples.where("NOT stale").withColumns({"nt": F.lead("t").over(order), "nf": F.lead("f").over(order), "pt": F.lag("t").over(order), "pf": F.lag("f").over(order)})
     # As long as a sample is the newest before a left edge, it is dealt to that edge's step.
     until = F.least(F.coalesce("nt", F.lit(NEVER)) - 1, F.col("t") + F.lit(lookback - 1))
