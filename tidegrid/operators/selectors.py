@@ -12,8 +12,9 @@ from ..plans.grid import Grid
 NEVER = (1 << 62) - 1
 
 
-def newest(samples: DataFrame, grid: Grid, lookback: int, offset: int) -> DataFrame:
-    """(key, ts, f, t): at each step the newest sample in (step - offset - lookback, step - offset].
+def held(samples: DataFrame, grid: Grid, lookback: int, offset: int) -> DataFrame:
+    """(key, f, t, k0, k1): a sample and the numbers of the first and last step at which it is the newest one in
+    (step - offset - lookback, step - offset].
 
     A sample holds until the next one of its series or until it is too old, so it is dealt to the steps of that span;
     steps and samples are not joined.  A stale marker ends the sample before it and holds nowhere itself.  Of
@@ -22,13 +23,18 @@ def newest(samples: DataFrame, grid: Grid, lookback: int, offset: int) -> DataFr
     after = F.lead("t").over(Window.partitionBy("key").orderBy("t", "f"))
     until = F.least(F.coalesce(after, F.lit(NEVER)) - 1, F.col("t") + F.lit(lookback - 1))
     first, last = grid.covered(F.col("t"), F.col("until"), offset)
-    held = samples.withColumn("until", until).where("NOT stale").withColumns({"k0": first, "k1": last}).where("k0 <= k1")
-    return held.withColumn("k", F.explode(F.sequence("k0", "k1"))).select("key", grid.at(F.col("k")).alias("ts"), "f", "t")
+    return samples.withColumn("until", until).where("NOT stale").select("key", "f", "t", first.alias("k0"), last.alias("k1")).where("k0 <= k1")
+
+
+def dealt(held: DataFrame, grid: Grid) -> DataFrame:
+    """What is held, once for each of its steps, with ``ts``.  Labels are joined before: that keeps the order of the
+    series, which dealt rows would have to be sorted into again."""
+    return held.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("ts", grid.at(F.col("k"))).drop("k", "k0", "k1")
 
 
 def smoothed(samples: DataFrame, grid: Grid, lookback: int, offset: int) -> DataFrame:
-    """As ``newest``, but on the line to the following sample if that comes within the look-back; a series' first
-    sample stands for the look-back before it too."""
+    """(key, ts, f, t): as ``held`` and dealt, but on the line to the following sample if that comes within the look-back;
+    a series' first sample stands for the look-back before it too."""
     order = Window.partitionBy("key").orderBy("t", "f")
     rows = samples.where("NOT stale").withColumns({"nt": F.lead("t").over(order), "nf": F.lead("f").over(order), "pt": F.lag("t").over(order)})
     until = F.least(F.coalesce(F.col("nt"), F.lit(NEVER)) - 1, F.col("t") + F.lit(lookback - 1))
@@ -78,4 +84,4 @@ def spread(rows: DataFrame, grid: Grid) -> DataFrame:
     return rows.drop("ts").withColumn("ts", F.explode(F.sequence(F.lit(grid.start).cast("long"), F.lit(grid.last).cast("long"), F.lit(grid.step).cast("long"))) if grid.n > 1 else F.lit(grid.start).cast("long")) if grid.n else rows.where("false")
 
 
-__all__ = ["newest", "smoothed", "windows", "edges", "spread", "Column"]
+__all__ = ["held", "dealt", "smoothed", "windows", "edges", "spread", "Column"]

@@ -119,8 +119,9 @@ class Engine:
             raise ParseError("duration must be greater than 0")
         return out
 
-    def _stored(self, s: N.Selector, low: int, high: int) -> Samples:
-        series, rows = self.source.select(s.matchers, low, high)
+    def _stored(self, s: N.Selector, low: int, high: int, copies: int = 0) -> Samples:
+        """``copies``: to how many steps a sample may be dealt."""
+        series, rows = self.source.select(s.matchers, low, high, copies)
 
         def named(frame: DataFrame) -> DataFrame:
             return frame.join(series.select(F.col("series_id").alias("key"), "labels"), "key").drop("key").withColumn("gone", F.lit(False))
@@ -152,11 +153,11 @@ class Engine:
         low, high = grid.start - offset - self.lookback + 1, grid.last - offset
         if s.mode == "smoothed":
             samples = self._stored(s, low, high + self.lookback)
-            rows = selectors.smoothed(samples.rows, grid, self.lookback, offset)
+            rows = samples.named(selectors.smoothed(samples.rows, grid, self.lookback, offset))
         else:
-            samples = self._stored(s, low, high)
-            rows = selectors.newest(samples.rows, grid, self.lookback, offset)
-        return samples.named(selectors.spread(rows, context.grid) if at else rows)
+            samples = self._stored(s, low, high, grid.most(self.lookback))
+            rows = selectors.dealt(samples.named(selectors.held(samples.rows, grid, self.lookback, offset)), grid)
+        return selectors.spread(rows, context.grid) if at else rows
 
     # Scalars
 

@@ -31,6 +31,10 @@ class Grid:
         high = F.floor((last + F.lit(offset - self.start)) / F.lit(self.step)) if self.step > 1 else last + F.lit(offset - self.start)
         return F.greatest(low.cast("long"), F.lit(0)), F.least(high.cast("long"), F.lit(self.n - 1))
 
+    def most(self, span: int) -> int:
+        """At most how many steps lie within a span."""
+        return max(1, min(self.n, -(-span // self.step)))
+
     def at(self, k: Column) -> Column:
         return F.lit(self.start) + k * F.lit(self.step)
 

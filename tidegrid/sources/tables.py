@@ -13,6 +13,24 @@ from ..functions import labels as L
 from ..lang.nodes import Matcher
 
 
+#: Bytes of samples, as the planner estimates them and times the steps each is dealt to, that one task takes.
+TASK = 4 << 20
+#: No more tasks than these, and no estimate beyond this size is one.
+MOST_TASKS, KNOWN = 10_000, 1 << 60
+
+
+def tasks(samples: DataFrame, copies: int) -> int | None:
+    """How many tasks take the samples in parts that don't grow with them; none where as many run anyway, or where
+    their size isn't known.  Spark would put shuffled parts together by the few bytes they have before they are dealt."""
+    plan = getattr(samples, "_jdf", None)  # not there on a remote session
+    if plan is None:
+        return None
+    size, spark = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())), samples.sparkSession
+    n = min(MOST_TASKS, -(-size * copies // TASK))
+    usual = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return n if size < KNOWN and n > usual else None
+
+
 @dataclass(frozen=True)
 class Source:
     """``series``: series_id, labels.  ``samples``: series_id, ts_ms, f, is_stale, and, where it is kept by day, day.
@@ -24,14 +42,21 @@ class Source:
     series: DataFrame
     samples: DataFrame
 
-    def select(self, matchers: tuple[Matcher, ...], low: int, high: int) -> tuple[DataFrame, DataFrame]:
-        """(series, samples as key, t, f, stale) of what matches, in [low, high] milliseconds."""
+    def select(self, matchers: tuple[Matcher, ...], low: int, high: int, copies: int = 0) -> tuple[DataFrame, DataFrame]:
+        """(series, samples as key, t, f, stale) of what matches, in [low, high] milliseconds.  Samples that will be
+        sorted and copied to up to so many steps are dealt over tasks by their size."""
         series = self.series.where(L.matches(F.col("labels"), matchers))
         rows = self.samples.where(F.col("ts_ms").between(low, high))
         if "day" in rows.columns:
             day = lambda x: F.to_date(F.timestamp_millis(F.lit(x)))
             rows = rows.where(F.col("day").between(day(low), day(high)))
-        rows = rows.join(series.select("series_id"), "series_id", "left_semi")
+        n = tasks(rows, copies) if copies else None
+        if n and all(m.name == L.NAME for m in matchers):
+            # Nearly all samples stay, so one shuffle is for the join and what follows; below it a semi join would be moved.
+            rows = rows.repartition(n, "series_id").join(series.select("series_id"), "series_id")
+        else:
+            rows = rows.join(series.select("series_id"), "series_id", "left_semi")
+            rows = rows.repartition(n, "series_id") if n else rows
         return series, rows.select(F.col("series_id").alias("key"), F.col("ts_ms").alias("t"), "f", F.col("is_stale").alias("stale"))
 
     def label_names(self, matchers: tuple[Matcher, ...] = (), limit: int | None = None) -> DataFrame:
@@ -77,7 +102,8 @@ def from_rows(rows: DataFrame) -> Source:
     named = rows.withColumn("series_id", series_id(F.col("labels")))
     if "is_stale" not in rows.columns:
         named = named.withColumn("is_stale", F.lit(False))
-    series = named.groupBy("series_id").agg(F.first("labels").alias("labels"))
+    # Told apart by hashing; a first() of label sets would sort all samples.
+    series = named.select("series_id", "labels").distinct()
     return Source(series, named.select("series_id", "ts_ms", "f", "is_stale"))
 
 
