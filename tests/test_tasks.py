@@ -48,3 +48,12 @@ def test_parts_keep_their_size(spark, monkeypatch, tmp_path):
     small, large = (tables.tasks(spark.read.parquet(f"{tmp_path}/{k}"), 4) for k in (1, 8))
     assert 7 * small <= large <= 8 * small
     assert tables.tasks(spark.createDataFrame([(1, 1, 1.0, False)], "series_id long, ts_ms long, f double, is_stale boolean"), 4) is None
+
+
+def test_windows_are_dealt_by_size(spark, monkeypatch):
+    run = entry.queries()["rate_then_sum"]
+    wanted = rows(run(spark, PATH))
+    monkeypatch.setattr(tables, "TASK", 4 << 10)
+    found = run(spark, PATH)
+    assert any(int(x) > 8 for x in re.findall(r"Exchange hashpartitioning\((?:series_id|key)#\d+L, (\d+)\)", plan(found)))
+    assert rows(found) == wanted and wanted

@@ -136,7 +136,7 @@ class Engine:
         if isinstance(node, N.Range):
             more = self.lookback if inner.mode else 0
             low, high = grid.start - offset - span - more, grid.last - offset + (more if inner.mode == "smoothed" else 0)
-            return self._stored(inner, low + 1, high), grid, span, offset
+            return self._stored(inner, low + 1, high, grid.most(span)), grid, span, offset
         step = self._span(node.step, context) or self.subquery_step
         first = math.trunc((grid.start - offset - span) / step) * step
         if first <= grid.start - offset - span:
@@ -152,7 +152,7 @@ class Engine:
         grid = at or context.grid
         low, high = grid.start - offset - self.lookback + 1, grid.last - offset
         if s.mode == "smoothed":
-            samples = self._stored(s, low, high + self.lookback)
+            samples = self._stored(s, low, high + self.lookback, grid.most(self.lookback))
             rows = samples.named(selectors.smoothed(samples.rows, grid, self.lookback, offset))
         else:
             samples = self._stored(s, low, high, grid.most(self.lookback))
